@@ -168,8 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     return train([x.as_py() for x in rows["__text"]], np.array(rows["__label"].to_pylist(), np.int64))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """`keep`, score (0 to 1). The model is one number a bucket (1 MB), whatever the corpus."""
+def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), text: str = "text", name: str = "score") -> DataFrame:
+    """`keep`, then `name`: the score (0 to 1). The model is one number a bucket (1 MB), whatever the corpus."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -179,4 +179,4 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), text: st
 
         return work
 
-    return map_rows(docs, make, "score double", list(keep))
+    return map_rows(docs, make, f"{name} double", list(keep))
