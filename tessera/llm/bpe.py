@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, strings
 
 #: Pieces whose ids a worker remembers; beyond it the memory is emptied, never the result.
-CACHE = 1 << 18
+CACHE = 1 << 17
 
 
 class Pieces(dict):
@@ -163,9 +163,13 @@ class Vocabulary:
         return ids
 
 
+def _ranks(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
+
+
 @functools.lru_cache(maxsize=4)
 def _vocabulary(content: bytes) -> Vocabulary:
-    return Vocabulary({base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)})
+    return Vocabulary(_ranks(content))
 
 
 def _file(path: str) -> bytes:
@@ -197,7 +201,7 @@ def decode(encoded: DataFrame, vocabulary_path: str, keep: list[str] = ("doc_id"
     content = encoded.sparkSession.sparkContext.broadcast(_file(vocabulary_path))
 
     def make():
-        bytes_of = _vocabulary(content.value).bytes_of.__getitem__
+        bytes_of = {r: b for b, r in _ranks(content.value).items()}.__getitem__
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             return [pa.array([b"".join(map(bytes_of, array("I", _native(x or b"")))) for x in batch.column(ids).to_pylist()], pa.binary())]

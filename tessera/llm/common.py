@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Arrow bytes that a task turns into Python values at a time.
+SLICE_BYTES = 4 << 20
+
 _LOCAL_SHARED: list[str] = []
 
 
@@ -58,18 +61,14 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            made = work(batch)
-            names = [*keep, *(f"c{i}" for i in range(len(made)))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=names)
+        for whole in batches:
+            rows = max(1, whole.num_rows * SLICE_BYTES // max(SLICE_BYTES, whole.nbytes))
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *work(batch)], names=names)
 
     names = [*keep, *(p.strip().split(" ")[0] for p in _split_schema(schema))]
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in run(batches):
-            yield b.rename_columns(names)
-
-    return df.mapInArrow(named, out)
+    return df.mapInArrow(run, out)
 
 
 def _split_schema(schema: str) -> list[str]:
