@@ -15,6 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Arrow bytes that a task turns into Python values at a time.
 SLICE_BYTES = 4 << 20
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _LOCAL_SHARED: list[str] = []
 
 
@@ -50,11 +52,18 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold 1,000 rows instead of the default 10,000, which whole documents make too large; another setting stays."""
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], schema: str, keep: list[str] = ()) -> DataFrame:
     """mapInArrow: `keep` columns pass through, and make()(batch) gives the arrays of `schema`, one value a row.
 
     make() runs once for each task, so that what it loads or caches lives as long as the task.
     """
+    bound_batches(df.sparkSession)
     fields = [df.schema[c] for c in keep]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     out = f"{kept}, {schema}" if kept else schema
