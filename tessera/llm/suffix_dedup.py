@@ -96,6 +96,18 @@ def _docs(t: pa.Table) -> tuple[list[int], list[bytes], pa.Table]:
     return [LAST if x is None else x for x in t["doc_id"].to_pylist()], [x or b"" for x in t["text"].to_pylist()], t
 
 
+def _packed(anchor: np.ndarray) -> bytes:
+    """The highest 40 bits of each anchor, 5 bytes each. A bucket has some 150,000 anchors at any input size, so equal bits nearly always mean equal anchors; if not, a piece is looked at in vain."""
+    return (anchor >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _codes(packed: bytes, bucket: int) -> np.ndarray:
+    """Packed anchors with their bucket in the highest 24 bits."""
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel() | np.uint64(bucket << 40)
+
+
 def _by_bucket(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """An order by bucket, and (bucket, from, to) of each in it."""
     bucket = (anchor % np.uint64(buckets)).astype(np.int64)
@@ -121,14 +133,15 @@ def _anchors(buckets: int):
         order, _, parts = _by_bucket(anchor, buckets)
         anchor, shared = anchor[order], shared[order]
         g = t["g"][0].as_py()
-        return pa.table({"b": pa.array([b for b, _, _ in parts], pa.int64()), "g": pa.array([g] * len(parts), pa.int64()), "anchors": pa.array([anchor[x:y].tobytes() for _, x, y in parts], pa.binary()), "shared": pa.array([shared[x:y].tobytes() for _, x, y in parts], pa.binary())})
+        return pa.table({"b": pa.array([b for b, _, _ in parts], pa.int64()), "g": pa.array([g] * len(parts), pa.int64()), "anchors": pa.array([_packed(anchor[x:y]) for _, x, y in parts], pa.binary()), "shared": pa.array([shared[x:y].tobytes() for _, x, y in parts], pa.binary())})
 
     return run
 
 
 def _shared(t: pa.Table) -> pa.Table:
     """Step 2. Of one bucket: the anchors that two documents have, for each group that has them."""
-    each = [np.frombuffer(x, np.uint64) for x in t["anchors"].to_pylist()]
+    b = t["b"][0].as_py()
+    each = [_codes(x, b) for x in t["anchors"].to_pylist()]
     groups = np.repeat(np.array(t["g"].to_pylist(), np.int64), [len(x) for x in each])
     anchor = np.concatenate(each)
     both = np.concatenate([np.frombuffer(x, bool) for x in t["shared"].to_pylist()])
@@ -143,23 +156,24 @@ def _shared(t: pa.Table) -> pa.Table:
     g, anchor = groups[order], anchor[order]
     at = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
     stops = np.append(at[1:], len(g)) if len(at) else at
-    none = pa.nulls(len(at), pa.int64())
-    return pa.table({"g": pa.array(g[at], pa.int64()), "b": none, "payload": pa.array([anchor[x:y].tobytes() for x, y in zip(at, stops, strict=True)], pa.binary())}, schema=_REPLY)
+    payload = [_packed(anchor[x:y] << np.uint64(24)) for x, y in zip(at, stops, strict=True)]
+    return pa.table({"g": pa.array(g[at], pa.int64()), "b": pa.array([b] * len(at), pa.int64()), "cuts": pa.array([False] * len(at)), "payload": pa.array(payload, pa.binary())}, schema=_REPLY)
 
 
-_REPLY = pa.schema([("g", pa.int64()), ("b", pa.int64()), ("payload", pa.binary())])
+_REPLY = pa.schema([("g", pa.int64()), ("b", pa.int64()), ("cuts", pa.bool_()), ("payload", pa.binary())])
 _CUT = np.dtype([("entry", "<i4"), ("first", "<i4"), ("last", "<i4"), ("owner", "<i8")])
 
 
-def _entries(texts: list[bytes], ids: list[int], told: pa.Table):
+def _entries(texts: list[bytes], ids: list[int], told: pa.Table, buckets: int):
     """The pieces of shared anchors: of each run its start, document and entry; of each entry its bytes, anchor and smallest id."""
-    known = [np.frombuffer(p, np.uint64) for p, b in zip(told["payload"].to_pylist(), told["b"].to_pylist(), strict=True) if b is None]
+    known = [_codes(p, b) for p, b, cuts in zip(told["payload"].to_pylist(), told["b"].to_pylist(), told["cuts"].to_pylist(), strict=True) if not cuts]
     if not known:
         return None
     known = np.sort(np.concatenate(known))
     text, offsets = _joined(texts)
     anchor, first, stop, doc = pieces(text, offsets)
-    some = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor
+    code = anchor >> np.uint64(24) | anchor % np.uint64(buckets) << np.uint64(40)
+    some = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
     anchor, first, stop, doc = anchor[some], first[some], stop[some], doc[some]
     raw, entry_of, number, content, least, owner_of = text.tobytes(), [], {}, [], [], []
     for a, x, y, d in zip(anchor.tolist(), first.tolist(), (stop + LENGTH).tolist(), doc.tolist(), strict=True):
@@ -181,7 +195,7 @@ def _send(buckets: int):
         made = None
         if docs.num_rows and told.num_rows:
             ids, texts, _ = _docs(docs)
-            made = _entries(texts, ids, told)
+            made = _entries(texts, ids, told, buckets)
         rows = {"b": [], "g": [], "ids": [], "sizes": [], "bytes": []}
         if made:
             _, _, _, _, content, anchor, least = made
@@ -269,7 +283,7 @@ def _shard(t: pa.Table) -> pa.Table:
         rows.append((g, ids))
     found = owners(content, np.array(least, np.int64))
     change = [np.flatnonzero(np.append(True, x[1:] != x[:-1])) for x in found]
-    out, k = {"g": [], "b": [], "payload": []}, 0
+    out, k = {"g": [], "b": [], "cuts": [], "payload": []}, 0
     for g, ids in rows:
         cuts = []
         for i, own in enumerate(ids):
@@ -282,6 +296,7 @@ def _shard(t: pa.Table) -> pa.Table:
         if cuts:
             out["g"].append(g)
             out["b"].append(t["b"][0].as_py())
+            out["cuts"].append(True)
             out["payload"].append(np.array(cuts, _CUT).tobytes())
     return pa.table({c: pa.array(v, _REPLY.field(c).type) for c, v in out.items()}, schema=_REPLY)
 
@@ -292,14 +307,14 @@ def _cut(buckets: int):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         ids, texts, docs = _docs(docs)
         steps = [np.zeros(len(t) + 1, np.int32) for t in texts]
-        made = _entries(texts, ids, told) if told.num_rows else None
+        made = _entries(texts, ids, told, buckets) if told.num_rows else None
         if made:
             start, more, doc, entry, content, anchor, least = made
             order, _, parts = _by_bucket(anchor, buckets)
             place = {b: order[x:y] for b, x, y in parts}
             cuts: dict[int, list] = {}
-            for b, payload in zip(told["b"].to_pylist(), told["payload"].to_pylist(), strict=True):
-                if b is not None:
+            for b, is_cut, payload in zip(told["b"].to_pylist(), told["cuts"].to_pylist(), told["payload"].to_pylist(), strict=True):
+                if is_cut:
                     for e, f, last, own in np.frombuffer(payload, _CUT).tolist():
                         cuts.setdefault(int(place[b][e]), []).append((f, last, own))
             for s, m, d, e in zip(start.tolist(), more.tolist(), doc.tolist(), entry.tolist(), strict=True):
@@ -328,10 +343,10 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes")).first()
     groups = max(1, math.ceil(size["n"] / GROUP_DOCS))
-    buckets = max(1, math.ceil((size["bytes"] or 0) / BUCKET_BYTES))
+    buckets = min(1 << 24, max(1, math.ceil((size["bytes"] or 0) / BUCKET_BYTES)))
     keyed = rows.withColumn("key", F.xxhash64("text")).select(F.pmod(F.xxhash64("doc_id", "key"), F.lit(groups)).alias("g"), "doc_id", "key", "text")
     dealt = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g")  # the one shuffle of texts; all steps read it
-    reply = "g long, b long, payload binary"
+    reply = "g long, b long, cuts boolean, payload binary"
     anchors = dealt.groupBy("g").applyInArrow(_anchors(buckets), "b long, g long, anchors binary, shared binary")
     shared = anchors.groupBy("b").applyInArrow(_shared, reply)
     sent = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_send(buckets), "b long, g long, ids binary, sizes binary, bytes binary")
