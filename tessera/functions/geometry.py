@@ -55,30 +55,42 @@ def centroid(p: str) -> str:
 
 
 def edges(p: str) -> str:
-    """Edges from each vertex to the one before it, as the even-odd test walks them."""
-    return f"transform({p}, (v, i) -> named_struct('xi', v.x, 'yi', v.y, 'xj', get({p}, (i + size({p}) - 1) % size({p})).x, 'yj', get({p}, (i + size({p}) - 1) % size({p})).y))"
+    """Edges from each vertex to the one before it, as the even-odd test walks them; level ones never count and go."""
+    before = f"get({p}, (i + size({p}) - 1) % size({p}))"
+    return f"filter(transform({p}, (v, i) -> named_struct('xi', v.x, 'yi', v.y, 'xj', {before}.x, 'yj', {before}.y)), e -> e.yi <> e.yj)"
 
 
-def edge_hits(x: str, y: str, e: str) -> str:
-    """The number of edges that a ray from (x, y) to the right crosses."""
-    return f"size(filter({e}, e -> ((e.yi > {y}) <> (e.yj > {y})) AND {x} < try_divide((e.xj - e.xi) * ({y} - e.yi), e.yj - e.yi) + e.xi))"
+def crossings(y: str, e: str) -> str:
+    """Where edges cross the height y."""
+    return f"transform(filter({e}, e -> (e.yi > {y}) <> (e.yj > {y})), e -> (e.xj - e.xi) * ({y} - e.yi) / (e.yj - e.yi) + e.xi)"
 
 
-def contains_edges(x: str, y: str, e: str) -> str:
-    return f"({edge_hits(x, y, e)} % 2 = 1)"
+def inside_crossings(x: str, at: str) -> str:
+    return f"(size(filter({at}, v -> {x} < v)) % 2)"
 
 
 def contains(x: str, y: str, p: str) -> str:
     """Even-odd, borders as the half-open test has them."""
-    return contains_edges(x, y, edges(p))
+    return f"({inside_crossings(x, crossings(y, edges(p)))} = 1)"
 
 
-def classify(x: str, y: str, w: str, h: str, e: str) -> str:
-    """G6: 'full', 'cut' or 'out' by four corners moved in by 2 % of the shorter side, and the centre."""
+def corners_inside(x: str, y: str, w: str, h: str, e: str) -> str:
+    """How many corners, moved in by 2 % of the shorter side, lie inside; each height's crossings are found once."""
     inset = f"least({w}, {h}) * 0.02D"
-    corners = [(f"{x} + {inset}", f"{y} + {inset}"), (f"{x} + {w} - {inset}", f"{y} + {inset}"), (f"{x} + {w} - {inset}", f"{y} + {h} - {inset}"), (f"{x} + {inset}", f"{y} + {h} - {inset}")]
-    inside = " + ".join(f"CAST({contains_edges(a, b, e)} AS INT)" for a, b in corners)
-    return f"CASE ({inside}) WHEN 4 THEN 'full' WHEN 0 THEN CASE WHEN {contains_edges(f'{x} + {w} / 2', f'{y} + {h} / 2', e)} THEN 'cut' ELSE 'out' END ELSE 'cut' END"
+    left, right = f"{x} + {inset}", f"{x} + {w} - {inset}"
+    row = lambda y_: f"element_at(transform(array({crossings(y_, e)}), a -> {inside_crossings(left, 'a')} + {inside_crossings(right, 'a')}), 1)"
+    return f"({row(f'{y} + {inset}')} + {row(f'{y} + {h} - {inset}')})"
+
+
+def class_of(corners: str, x: str, y: str, w: str, h: str, e: str) -> str:
+    """G6 from the number of corners inside; the centre decides just where there is none."""
+    centre = f"{inside_crossings(f'{x} + {w} / 2', crossings(f'{y} + {h} / 2', e))} = 1"
+    return f"CASE WHEN {corners} = 4 THEN 'full' WHEN {corners} > 0 THEN 'cut' WHEN {centre} THEN 'cut' ELSE 'out' END"
+
+
+def classify(x: str, y: str, w: str, h: str, e: str) -> str:
+    """G6: 'full', 'cut' or 'out'."""
+    return f"element_at(transform(array({corners_inside(x, y, w, h, e)}), n -> {class_of('n', x, y, w, h, e)}), 1)"
 
 
 def rect(x: str, y: str, w: str, h: str) -> str:
@@ -86,12 +98,21 @@ def rect(x: str, y: str, w: str, h: str) -> str:
     return f"array(named_struct('x', {x}, 'y', {y}), named_struct('x', {x} + {w}, 'y', {y}), named_struct('x', {x} + {w}, 'y', {y} + {h}), named_struct('x', {x}, 'y', {y} + {h}))"
 
 
+def sides(window: str) -> str:
+    """A clip window's edges, each with the sign of its inner side; once for a room, not for each tile."""
+    edge = f"named_struct('ax', v.x, 'ay', v.y, 'bx', {following(window)}.x, 'by', {following(window)}.y, 's', o)"
+    return f"element_at(transform(array(CASE WHEN {signed_area(window)} < 0 THEN -1D ELSE 1D END), o -> transform({window}, (v, i) -> {edge})), 1)"
+
+
 def clip(subject: str, window: str) -> str:
     """G8 with G10 and G11: the part of `subject` inside all half-planes of the window's edges, one after another.
 
     Exact for a convex window; of a concave one the common part of its half-planes.
     """
-    sides = f"transform({window}, (v, i) -> named_struct('ax', v.x, 'ay', v.y, 'bx', {following(window)}.x, 'by', {following(window)}.y, 's', CASE WHEN {signed_area(window)} < 0 THEN -1D ELSE 1D END))"
+    return clip_sides(subject, sides(window))
+
+
+def clip_sides(subject: str, of: str) -> str:
     # each point with its side of the line: 0 or more (to 1e-9) is inside
     placed = "transform(pts, p -> named_struct('x', p.x, 'y', p.y, 'c', e.s * ((e.bx - e.ax) * (p.y - e.ay) - (e.by - e.ay) * (p.x - e.ax))))"
     a1, b1 = "(e.by - e.ay)", "(e.ax - e.bx)"
@@ -105,7 +126,7 @@ def clip(subject: str, window: str) -> str:
     none = "CAST(array() AS array<struct<x:double,y:double>>)"
     step = f"""flatten(transform(transform(s, (p, j) -> named_struct('p', p, 'q', get(s, (j + 1) % size(s)))), k ->
         element_at(transform(array(named_struct('p', k.p, 'q', k.q)), o -> {_let('o', meet, here, none)}), 1)))"""
-    return f"aggregate({sides}, transform({subject}, v -> named_struct('x', v.x, 'y', v.y)), (pts, e) -> element_at(transform(array({placed}), s -> {step}), 1))"
+    return f"aggregate({of}, transform({subject}, v -> named_struct('x', v.x, 'y', v.y)), (pts, e) -> element_at(transform(array({placed}), s -> {step}), 1))"
 
 
 def _let(o: str, meet: str, here: str, none: str) -> str:
