@@ -66,7 +66,9 @@ def markups(duck: bool = False) -> str:
 
 
 def requests(duck: bool = False) -> str:
-    ms = "epoch_ms(ts)" if duck else "unix_millis(ts)"
+    # a timestamp without a zone has no epoch in Spark: its parts count the same in any session's zone
+    parts = "datediff(ts, DATE '1970-01-01') * 86400000L + hour(ts) * 3600000L + minute(ts) * 60000L + CAST(floor(extract(SECOND FROM ts) * 1000) AS BIGINT)"
+    ms = "epoch_us(ts) // 1000" if duck else parts
     return f"SELECT event_id, user_id AS identity, ts, {ms} AS ts_ms FROM events"
 
 

@@ -130,7 +130,7 @@ SELECT project_id, {R6('z')} AS zoom, {R6('80e0 - x0 * z + (1040e0 - (x1 - x0) *
         "camera": f"""{duck('rooms')}, c AS (SELECT project_id, list_sum(list_transform(points, lambda v: v.x)) / len(points) AS x, list_sum(list_transform(points, lambda v: v.y)) / len(points) AS y FROM rooms), m AS (SELECT project_id, avg(x) AS cx, avg(y) AS cy FROM c GROUP BY 1)
 SELECT project_id, {R6('any_value(cx)')} AS cx, {R6('any_value(cy)')} AS cy, {R6('max(' + HYP('x - cx', 'y - cy') + ')')} AS radius FROM c JOIN m USING (project_id) GROUP BY 1""",
         "add_rooms": f"""{MAIN}, have AS (SELECT project_id, count(*) AS n FROM rooms GROUP BY 1), fl AS (SELECT b.project_id, min(material_id) AS floor FROM bridge b JOIN materials USING (material_id) WHERE type = 'floor' GROUP BY 1)
-SELECT project_id, seq, CASE WHEN seq = 2 THEN 'Porch' ELSE concat('Room ', coalesce(n, 0) + 1) END AS name, ([{', '.join(repr(c) for c in C.ROOM_COLORS)}])[(coalesce(n, 0) + seq - 1) % 8 + 1] AS color, floor, 120e0 AS area FROM projects, (VALUES (CAST(1 AS BIGINT)), (CAST(2 AS BIGINT))) AS s(seq) LEFT JOIN have USING (project_id) LEFT JOIN fl USING (project_id)""",
+SELECT project_id, seq, CASE WHEN seq = 2 THEN 'Porch' ELSE concat('Room ', coalesce(n, 0) + 1) END AS name, ([{', '.join(repr(c) for c in C.ROOM_COLORS)}])[(coalesce(n, 0) + seq - 1) % 8 + 1] AS color, floor, 120e0 AS area FROM projects CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (CAST(2 AS BIGINT))) AS s(seq) LEFT JOIN have USING (project_id) LEFT JOIN fl USING (project_id)""",
         "toggle_assignments": f"{duck('bridge')}, {_ASSIGNED} SELECT room_id, array_to_string(CASE WHEN room_id % 2 = 0 THEN a[2:] ELSE list_append(a, -1) END, ',') AS assigned FROM assigned",
         "delete_materials": f"{duck('bridge', 'materials')} SELECT project_id, room_id, material_id FROM bridge WHERE material_id NOT IN (SELECT material_id FROM materials WHERE type = 'wall')",
         "add_floor_material": f"{MAIN} SELECT project_id, room_id, material_id FROM bridge UNION ALL SELECT project_id, room_id, -1 FROM rooms WHERE room_id NOT IN (SELECT room_id FROM bridge JOIN materials USING (material_id) WHERE type = 'floor')",

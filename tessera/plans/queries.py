@@ -10,6 +10,7 @@ from ..functions import geometry as G
 from ..functions import units as U
 from ..operators import cuts, cutsheet, estimate, layout, limits, markups, spatial, store
 from ..sources import detection, documents
+from ..streaming import limits as streams
 from .fixtures import load
 
 DAY_MS, PER_DAY = 86_400_000, 3
@@ -386,11 +387,27 @@ def debounced_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.debounced(load(spark, sf_dir, "requests"), 14_400_000).select("identity", "event_id", "ts_ms")
 
 
+def limiter_fixed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 as a stream: the windows that the watermark has closed."""
+    return streams.finished(streams.fixed_windows(streams.requests(spark, sf_dir), DAY_MS, PER_DAY), "limiter_fixed")
+
+
+def limiter_sliding_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2, W3 as a stream."""
+    return streams.finished(streams.sliding_log(streams.requests(spark, sf_dir), DAY_MS, PER_DAY), "limiter_sliding")
+
+
+def debounced_saves_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X11, W4 as a stream: the runs of changes that have ended."""
+    return streams.finished(streams.debounced(streams.requests(spark, sf_dir), 14_400_000), "debounced")
+
+
 QUERIES = [
     project_estimate, material_areas, estimate_lines, estimate_lines_cuts, room_geometry, tile_in_room, view_transform, unit_formats, unit_numbers, unit_parse, scales, text_functions,
     layout_tally, wall_segments, cut_pieces, cut_analysis, cut_comparison, cut_steps, cut_list, cut_rooms, cut_plan, cut_sheet_html, markup_values, markup_summary, markup_labels, markup_commits,
     room_under_pointer, marquee, drawn_rooms, moved_rooms, fit_view, camera, add_rooms, toggle_assignments, delete_materials, add_floor_material, change_pattern, merge_rooms, tile_library,
     project_list, project_upsert, project_headline, room_materials, document_round_trip, report_csv, report_xlsx, detection_cleaning, detection_requests, limiter_fixed, limiter_sliding, debounced_saves,
+    limiter_fixed_stream, limiter_sliding_stream, debounced_saves_stream,
 ]
 
 

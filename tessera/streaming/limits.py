@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,8 +20,8 @@ def fixed_windows(requests: DataFrame, window_ms: int = WINDOW_MS, most: int = M
     return windows.select("identity", F.expr(f"unix_millis(window.start) DIV {window_ms}").alias("bucket"), "hits", F.greatest(F.lit(0).cast("long"), F.col("hits") - most).alias("limited"))
 
 
-def sliding_log(requests: DataFrame, window_ms: int = WINDOW_MS, most: int = MOST) -> DataFrame:
-    """Each request with the hits in the window before it. State is an identity's times in the window; it goes when the window has passed."""
+def sliding_log(requests: DataFrame, window_ms: int = WINDOW_MS, most: int = MOST, late: str = "5 minutes") -> DataFrame:
+    """Each request with the hits in the window before it. State is an identity's times in the window; it goes when the watermark has passed them all."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -33,11 +35,11 @@ def sliding_log(requests: DataFrame, window_ms: int = WINDOW_MS, most: int = MOS
             times.append(int(now))
             hits.append(len(times))
         state.update((times,))
-        state.setTimeoutDuration(window_ms)
+        state.setTimeoutTimestamp(max(times[-1] + window_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": rows["event_id"], "identity": key[0], "ts_ms": rows["ts_ms"], "hits": hits, "limited": [h > most for h in hits]})
 
     schema = "event_id long, identity long, ts_ms long, hits long, limited boolean"
-    return requests.groupBy("identity").applyInPandasWithState(update, schema, "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.withWatermark("ts", late).groupBy("identity").applyInPandasWithState(update, schema, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def debounced(changes: DataFrame, quiet_ms: int, late: str = "1 minute") -> DataFrame:
@@ -46,6 +48,37 @@ def debounced(changes: DataFrame, quiet_ms: int, late: str = "1 minute") -> Data
     return sessions.agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("changes")).select("identity", "event_id", "changes")
 
 
+_LOCAL: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path that driver and executors share: in spark.checkpoint.dir, or, on a local master alone, in a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="spark-streams-"))
+        base = _LOCAL[0]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of requests."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    ms = "datediff(ts, DATE '1970-01-01') * 86400000L + hour(ts) * 3600000L + minute(ts) * 60000L + CAST(floor(extract(SECOND FROM ts) * 1000) AS BIGINT)"
+    return rows.selectExpr("event_id", "user_id AS identity", "CAST(ts AS TIMESTAMP) AS ts", f"{ms} AS ts_ms")
+
+
+def finished(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over all input that is there and reads what it wrote."""
+    spark = stream.sparkSession
+    out = scratch(spark, name)
+    run_once(stream, out, scratch(spark, f"{name}-state"))
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Handles all input that is there, writes Parquet, and stops."""
     stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
