@@ -33,7 +33,7 @@ def suffix_array(text: np.ndarray, end: np.ndarray) -> np.ndarray:
         more = left[some] > depth
         behind = np.where(more, rank[np.minimum(some + depth, n - 1)] + 1, 0)
         group = rank[some]
-        order = np.lexsort((behind, group))  # stable: ties stay in text order
+        order = np.argsort(group * (n + 1) + behind, kind="stable")  # ties stay in text order
         some, behind, group, more = some[order], behind[order], group[order], more[order]
         sa[tied] = some
         new = np.empty(len(tied), bool)
