@@ -44,11 +44,7 @@ def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens, and whether decoding gives the text back."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, keep=["doc_id", "text"])
-    back = bpe.decode(coded, path, keep=["doc_id", "text", "ids", "n_tokens"])
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return back.select("doc_id", "n_tokens", "ids", same.alias("round_trip"))
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [

@@ -177,6 +177,16 @@ def _file(path: str) -> bytes:
         return f.read()
 
 
+def _encoder(content: bytes, pattern: str):
+    pieces, split = _vocabulary(content).pieces, regex.compile(pattern).findall
+    return lambda text: b"".join(map(pieces.__getitem__, split(text)))
+
+
+def _decoder(content: bytes):
+    bytes_of = {r: b for b, r in _ranks(content).items()}.__getitem__
+    return lambda packed: b"".join(map(bytes_of, array("I", _native(packed))))
+
+
 def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", keep: list[str] = ("doc_id",), ids: str = "ids") -> DataFrame:
     """`keep`, then `ids` (binary: little-endian unsigned 32-bit) and n_tokens (long).
 
@@ -185,10 +195,10 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "tex
     content = docs.sparkSession.sparkContext.broadcast(_file(vocabulary_path))
 
     def make():
-        pieces, split = _vocabulary(content.value).pieces, regex.compile(pattern).findall
+        encoded = _encoder(content.value, pattern)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            out = [b"".join(map(pieces.__getitem__, split(t))) for t in strings(batch, text)]
+            out = [encoded(t) for t in strings(batch, text)]
             return [pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())]
 
         return work
@@ -201,14 +211,29 @@ def decode(encoded: DataFrame, vocabulary_path: str, keep: list[str] = ("doc_id"
     content = encoded.sparkSession.sparkContext.broadcast(_file(vocabulary_path))
 
     def make():
-        bytes_of = {r: b for b, r in _ranks(content.value).items()}.__getitem__
+        back = _decoder(content.value)
+        return lambda batch: [pa.array([back(x or b"") for x in batch.column(ids).to_pylist()], pa.binary())]
+
+    return map_rows(encoded, make, f"{decoded} binary", list(keep))
+
+
+def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", keep: list[str] = ("doc_id",), with_decoded: bool = False) -> DataFrame:
+    """encode() and decode() in one pass, with half the Python workers: `keep`, n_tokens, ids, round_trip (whether decoding gives the text) and, if asked, decoded."""
+    content = docs.sparkSession.sparkContext.broadcast(_file(vocabulary_path))
+
+    def make():
+        encoded, back = _encoder(content.value, pattern), _decoder(content.value)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            return [pa.array([b"".join(map(bytes_of, array("I", _native(x or b"")))) for x in batch.column(ids).to_pylist()], pa.binary())]
+            texts = strings(batch, text)
+            ids = [encoded(t) for t in texts]
+            plain = [back(x) for x in ids]
+            same = [p == t.encode() for p, t in zip(plain, texts, strict=True)]
+            return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(same, pa.bool_()), *([pa.array(plain, pa.binary())] if with_decoded else [])]
 
         return work
 
-    return map_rows(encoded, make, f"{decoded} binary", list(keep))
+    return map_rows(docs.select(*dict.fromkeys([*keep, text])), make, "n_tokens bigint, ids binary, round_trip boolean" + ", decoded binary" * with_decoded, list(keep))
 
 
 def _native(packed: bytes) -> bytes:
@@ -217,6 +242,5 @@ def _native(packed: bytes) -> bytes:
 
 def digests(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, then decodes the ids."""
-    coded = encode(docs, vocabulary_path, pattern)
-    back = decode(coded, vocabulary_path, keep=["doc_id", "n_tokens", "ids"])
-    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = round_trip(docs, vocabulary_path, pattern, with_decoded=True)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

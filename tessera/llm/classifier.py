@@ -105,7 +105,7 @@ class Model:
         a = 0
         while a < len(texts):  # blocks bound the memory, whatever the texts' lengths
             b, size = a, 0
-            while b < len(texts) and (b == a or size + len(texts[b]) < 1 << 20):
+            while b < len(texts) and (b == a or size + len(texts[b]) < 1 << 18):
                 size += len(texts[b])
                 b += 1
             buckets, owners = features(*joined(texts[a:b]))

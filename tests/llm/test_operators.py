@@ -96,6 +96,8 @@ def test_bpe(docs, empty):
         expected.append((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(t)))
     same(bpe.digests(docs, path, public_tokenizers.PATTERN), expected)
     assert bpe.digests(empty, path, public_tokenizers.PATTERN).count() == 0
+    apart = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "text"]), path, keep=["text"])
+    assert apart.where("decoded <> CAST(coalesce(text, '') AS BINARY)").count() == 0
     v, r = bpe._vocabulary(bpe._file(path)), random.Random(8)
     for _ in range(3000):
         piece = "".join(r.choice("abeilnorst éあ=-\n '") for _ in range(r.randint(1, 30))).encode()
