@@ -55,7 +55,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path that driver and executors share: in spark.checkpoint.dir, or, on a local master alone, in a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="spark-streams-"))
