@@ -321,6 +321,22 @@ def test_chunk_dedup(docs, empty):
     assert chunk_dedup.report(empty).count() == 0
 
 
+def test_chunk_dedup_removes_exact_copies_whole(spark, monkeypatch):
+    monkeypatch.setattr(chunk_dedup, "GROUP_DOCS", 4)
+    monkeypatch.setattr(chunk_dedup, "BUCKET_BYTES", 3000)
+    texts = [prose(n, 5000 + k) for k, n in enumerate([12, 20, 60, 200, 700] * 4)]
+    own = spark.createDataFrame([(i + 100 * c, t) for i, t in enumerate(texts) for c in (0, 1)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in chunk_dedup.deduplicate(own).collect()}
+    assert all(got[i + 100]["n_removed"] == len(t) and got[i + 100]["n_spans"] == 1 for i, t in enumerate(texts))
+    assert all(i in got[i + 100]["owners"] for i in range(len(texts)))
+    # what stands between two copied passages and in no other document stays, however short
+    a, b = prose(80, 6001), prose(80, 6002)
+    mid = spark.createDataFrame([(1, a), (2, b), (3, a + " zq7741x " + b)], "doc_id bigint, text string")
+    kept = {r["doc_id"]: bytes(r["kept"]) for r in chunk_dedup.deduplicate(mid).collect()}
+    assert b"zq7741x" in kept[3] and len(kept[3]) < len(a)
+    assert chunk_dedup.runs([(0, 40), (41, 90), (90, 100)]) == [(41, 100)]
+
+
 def test_decontamination(spark, docs, empty):
     items = [
         (1, "A train leaves Boston at 40 km and meets Anna after 3 hours near the old river bridge, then 40 more trains follow."),
