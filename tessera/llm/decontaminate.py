@@ -8,6 +8,11 @@ slots are aligned, and an item's slot value must stand for one document value (0
 of the slots agree), which catches re-parameterised questions and drops windows that fit
 by placeholders alone.
 
+Slots are compared for each occurrence: pairs of windows are grouped by their offset
+(document position less item position), in overlapping bands, so that a few words more or
+less do not part an occurrence; in a band an item window counts at the offset that most
+windows share. One contained and consistent band is enough, or the whole document.
+
 Items of fewer than five words are one window of their own width. Null or wordless texts
 and items match nothing. Results have one row for each doc_id, text and item; repeated
 rows add none. Rows of a null doc_id match too. Equal item ids count as one item. Extra
@@ -17,7 +22,7 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialized
@@ -64,19 +69,42 @@ def _hash(i: str, width: int) -> str:
 
 
 def _slotted(rows: DataFrame, widths: list[int], *keep: str) -> DataFrame:
-    """`keep`, hash, slots: a row for each window; slots: the values under its placeholders."""
+    """`keep`, at, hash, slots: a row for each window; at: its first word; slots: the values under its placeholders."""
     tagged = rows.select(*keep, F.expr(f"transform(raw, (w, i) -> struct({_tag('w', 'i')} AS t, {_value('w')} AS v))").alias("words"))
     hashed = tagged.select(*keep, "words", F.expr("transform(words, w -> xxhash64(w.t))").alias("h"))
     slots = lambda i, n: f"transform(filter(slice(words, {i} + 1, {n}), w -> w.t IN ('<num>', '<unit>', '<name>')), w -> w.v)"
-    return hashed.select(*keep, F.expr(f"inline({_windows('h', widths, lambda i, n: f'struct({_hash(i, n)} AS hash, {slots(i, n)} AS slots)')})"))
+    return hashed.select(*keep, F.expr(f"inline({_windows('h', widths, lambda i, n: f'struct({i} AS at, {_hash(i, n)} AS hash, {slots(i, n)} AS slots)')})"))
+
+
+def _agreement(aligned: DataFrame, containment: float) -> DataFrame:
+    """key, item_id, consistency and same (share of equal values) of the most consistent contained alignment.
+
+    aligned: key, item_id, n_windows, part, at, of, hash, asked, slots: pairs of windows. Bands are a quarter of the item wide
+    (four words at least); of two grids of them, half a band apart, one keeps together what drifts by half a band.
+    """
+    ids = ["key", "item_id", "n_windows"]
+    near = Window.partitionBy("key", "item_id", "part", "offset")  # an item's windows bound it
+    pairs = aligned.withColumn("offset", F.expr("at - of")).withColumn("support", F.count("*").over(near)).withColumn("width", F.expr("greatest(4, n_windows DIV 4)"))
+    bands = F.expr("explode(array(struct(0 AS grid, floor(offset / width) AS place), struct(1 AS grid, floor(offset / width + 0.5D) AS place)))")
+    banded = pairs.withColumn("band", bands).groupBy(*ids, "band", "part", "of").agg(F.max_by(F.struct("hash", "asked", "slots"), F.struct("support", -F.col("offset"))).alias("best"))
+    whole = aligned.select(*ids, F.expr("struct(2 AS grid, 0L AS place) AS band"), "at", "hash", "asked", "slots").distinct().drop("at")
+    rows = banded.select(*ids, "band", "best.*").unionByName(whole)
+    held = rows.groupBy(*ids, "band").agg(F.countDistinct("hash").alias("n_held")).where(F.col("n_held") >= containment * F.col("n_windows") - 1e-9)
+    slots = rows.join(held.select("key", "item_id", "band"), ["key", "item_id", "band"]).select("key", "item_id", "band", F.expr("inline_outer(arrays_zip(asked, slots))").alias("a", "b"))
+    by_pair = slots.groupBy("key", "item_id", "band", "a", "b").agg(F.count("a").alias("n"))
+    by_value = by_pair.groupBy("key", "item_id", "band", "a").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
+    share = lambda c: F.expr(f"coalesce(sum({c}) / nullif(sum(n), 0), 1D)")
+    each = by_value.groupBy("key", "item_id", "band").agg(share("most").alias("consistency"), share("same").alias("same"))
+    return each.groupBy("key", "item_id").agg(F.max(F.struct("consistency", "same")).alias("best")).select("key", "item_id", "best.*")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", containment: float = CONTAINMENT, consistency: float = CONSISTENCY) -> DataFrame:
     """doc_id, key (hash of id and text), item_id, n_windows, n_found, containment, consistency, verbatim."""
-    items = _words(benchmark.where("item_id IS NOT NULL"), text, "item_id").where("size(raw) > 0")
+    known = benchmark.where("item_id IS NOT NULL").withColumn("part", F.xxhash64(text))
+    items = _words(known, text, "item_id", "part").where("size(raw) > 0")
     widths = sorted(r["n"] for r in items.select(F.least(F.size("raw"), F.lit(WIDTH)).alias("n")).distinct().collect())  # five values at most
     widths = widths or [WIDTH]
-    per_width = [_slotted(items.where(f"least(size(raw), {WIDTH}) = {n}"), [n], "item_id") for n in widths]
+    per_width = [_slotted(items.where(f"least(size(raw), {WIDTH}) = {n}"), [n], "item_id", "part") for n in widths]
     asked = per_width[0]
     for more in per_width[1:]:
         asked = asked.unionByName(more)
@@ -95,10 +123,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", containme
     # the candidates are a written table: Spark knows its size and broadcasts it only if small
     some = candidates.select(F.col("doc_id").alias("id"), F.col("key").alias("k")).distinct()
     again = rows.join(some, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["key"])
-    aligned = _slotted(_words(again, "text", "doc_id", "key"), widths, "key").where("size(slots) > 0").join(candidates.select("key", "item_id"), "key").join(asked.select("item_id", "hash", F.col("slots").alias("asked")).distinct(), ["item_id", "hash"])
-    pairs = aligned.select("key", "item_id", F.expr("inline(arrays_zip(asked, slots))").alias("a", "b")).groupBy("key", "item_id", "a", "b").agg(F.count("*").alias("n"))
-    by_value = pairs.groupBy("key", "item_id", "a").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
-    agreed = by_value.groupBy("key", "item_id").agg((F.sum("most") / F.sum("n")).alias("consistency"), (F.sum("same") / F.sum("n")).alias("same"))
+    items_at = asked.select("item_id", "part", "hash", F.col("at").alias("of"), F.col("slots").alias("asked")).distinct()
+    aligned = _slotted(_words(again, "text", "doc_id", "key"), widths, "key").join(candidates.select("key", "item_id", "n_windows"), "key").join(items_at, ["item_id", "hash"])
+    agreed = _agreement(materialized(aligned, "aligned"), containment)
     joined = candidates.join(agreed, ["key", "item_id"], "left")
     one = F.lit(1.0)
     return joined.select(

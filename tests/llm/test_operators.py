@@ -357,6 +357,23 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_aligns_occurrences(spark):
+    quiz = "The shop sold 48 clips to Anna in April and then 24 more clips to Robert in June before the 72 boxes went to Berlin by train."
+    other = quiz.replace("48", "31").replace("24", "57").replace("72", "88").replace("Anna", "Maria").replace("Robert", "Paul").replace("Berlin", "Madrid")
+    third = quiz.replace("48", "12").replace("24", "13").replace("72", "14").replace("Anna", "Olga").replace("Robert", "Hugo").replace("Berlin", "Oslo")
+    long_list = "You need 2 kg of flour and 3 kg of flour and 4 kg of flour and 5 kg of flour for bread"
+    bench = spark.createDataFrame([(1, quiz), (2, long_list)], "item_id bigint, text string")
+    docs = spark.createDataFrame([
+        (10, quiz + " " + prose(30, 1) + ". " + other), (11, other + " " + prose(9, 2) + ". " + third + " " + prose(40, 3)), (12, prose(20, 4) + ". " + long_list + " " + prose(20, 5)),
+        (13, other.replace("in June", "very late in June") + " " + prose(30, 6) + ". " + third), (14, prose(60, 7)), (15, other + " " + third),
+    ], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(docs, bench, containment=0.7).collect()}
+    assert set(got) == {(10, 1), (11, 1), (12, 2), (13, 1), (15, 1)}
+    assert got[10, 1]["verbatim"] and got[12, 2]["verbatim"] and not got[11, 1]["verbatim"]
+    assert all(r["consistency"] == 1 for r in got.values())
+    assert not {10, 11, 12, 15} & {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()}
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     good = [(1000 + i, prose(60, i), "en", "s", 1) for i in range(150)]
     bad = [(2000 + i, " ".join(w + "%%%" for w in prose(60, i).split()), "en", "s", 1) for i in range(60)]
