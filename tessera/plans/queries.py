@@ -351,10 +351,10 @@ def report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A workbook for every project."""
-    p, r, m = _tables(spark, sf_dir, "projects", "rooms", "materials")
+    p, r, m, b = _tables(spark, sf_dir, "projects", "rooms", "materials", "bridge")
     lines = _lines(spark, sf_dir)
     names = store.room_materials(_assigned_rooms(spark, sf_dir), m)
-    return documents.workbooks(lines, estimate.estimate_projects(p, r, lines), r, names)
+    return documents.workbooks(lines, estimate.estimate_projects(p, r, lines), r, names, m, b)
 
 
 def detection_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
