@@ -15,25 +15,28 @@ def suffix_array(text: np.ndarray, end: np.ndarray) -> np.ndarray:
     """
     n = len(text)
     left = end - np.arange(n)
-    symbol = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
-    key = np.zeros(n, np.uint64)
-    for k in range(7):
-        key <<= np.uint64(9)
-        key |= np.where(left > k, symbol[k : k + n], np.uint64(0))
-    sa = np.argsort(key, kind="stable")
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    key = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)
+    key &= ~np.uint64(255)
+    short = np.flatnonzero(left < 7)  # bytes behind the end go; the lowest byte puts an end before a zero byte
+    key[short] &= ~np.uint64(0) << (np.uint64(8) * (np.uint64(8) - left[short].astype(np.uint64)))
+    key |= np.minimum(left, 7).astype(np.uint64)
+    sa = np.argsort(key)
+    key = key[sa]
     new = np.empty(n, bool)
     new[:1] = True
-    np.not_equal(key[sa[1:]], key[sa[:-1]], out=new[1:])
+    np.not_equal(key[1:], key[:-1], out=new[1:])
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     depth = 7
     tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+    ended = []
     while len(tied):
         some = sa[tied]
         more = left[some] > depth
         behind = np.where(more, rank[np.minimum(some + depth, n - 1)] + 1, 0)
         group = rank[some]
-        order = np.argsort(group * (n + 1) + behind, kind="stable")  # ties stay in text order
+        order = np.argsort(group * (n + 1) + behind)
         some, behind, group, more = some[order], behind[order], group[order], more[order]
         sa[tied] = some
         new = np.empty(len(tied), bool)
@@ -41,7 +44,13 @@ def suffix_array(text: np.ndarray, end: np.ndarray) -> np.ndarray:
         new[1:] = (group[1:] != group[:-1]) | (behind[1:] != behind[:-1])
         rank[some] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
         depth *= 2
-        tied = tied[(~new | ~np.append(new[1:], True)) & more]
+        open_ = ~new | ~np.append(new[1:], True)
+        ended.append(tied[open_ & ~more])
+        tied = tied[open_ & more]
+    if ended:  # equal to their ends: in text order
+        tied = np.sort(np.concatenate(ended))
+        some = sa[tied]
+        sa[tied] = some[np.lexsort((some, rank[some]))]
     return sa
 
 
