@@ -1,12 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words of texts and benchmark items become templates: numbers, units behind a number and
-names (a capital that starts no sentence) turn into typed placeholders, other words are
-lower-cased. Hashes of all five-word template windows are joined. A document that holds
-0.8 or more of an item's windows is a candidate; on the candidates alone the values in the
-slots are aligned, and an item's slot value must stand for one document value (0.8 or more
-of the slots agree), which catches re-parameterised questions and drops windows that fit
-by placeholders alone.
+names turn into typed placeholders. Every word with a capital counts as a name, at the start of a sentence too, so that a word's tag never depends on
+what stands before the passage; the slot check tells an article from a name. Hashes of all
+five-word template windows are joined. A document that holds 0.8 or more of an item's
+windows is a candidate; on the candidates alone the values in the slots are aligned, and
+an item's slot value must stand for one document value (0.8 or more of the slots agree),
+which catches re-parameterised questions and drops windows that fit by placeholders alone.
 
 Slots are compared for each occurrence: pairs of windows are grouped by their offset
 (document position less item position), in overlapping bands, so that a few words more or
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialized
+from .common import materialized, row_key, unused
 
 WIDTH = 5
 CONTAINMENT = 0.8
@@ -34,10 +34,12 @@ CONSISTENCY = 0.8
 UNITS = ["%", "€", "$", "£", "mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "yd", "mi", "mile", "miles", "meter", "meters", "metre", "metres", "mg", "g", "kg", "gram", "grams", "lb", "lbs", "pound", "pounds", "oz", "ounce", "ounces", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degrees", "mph", "kmh", "w", "kw", "v", "hz", "khz", "mhz", "b", "kb", "mb", "gb", "tb"]
 #: Benchmark windows up to which their table is broadcast (16 bytes each and overhead); beyond, Spark chooses the join.
 BROADCAST_WINDOWS = 500_000
+#: Keys of found documents (16 bytes each and overhead) up to which they are broadcast, so that texts need not move.
+BROADCAST_ROWS = 500_000
 
 
-#: Fixed value: a number, a word with the mark that may end a sentence behind it, or a unit sign.
-WORD = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+[.!?:]?|[%€$£]"
+#: Fixed value: a number, a word, or a unit sign.
+WORD = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+|[%€$£]"
 
 
 def _words(rows: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -45,17 +47,13 @@ def _words(rows: DataFrame, text: str, *keep: str) -> DataFrame:
     return rows.select(*keep, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0)).alias("raw"))
 
 
-def _value(w: str) -> str:
-    return f"lower(rtrim('.!?:', {w}))"
-
-
 def _tag(w: str, i: str) -> str:
-    """SQL for the template word of raw[i]: a placeholder or the lower-cased word."""
+    """SQL for the template word of raw[i]: a placeholder or the word, which has no capital then. Comparing whole strings is what Spark does fastest."""
     before, units = f"get(raw, {i} - 1)", ", ".join(f"'{u}'" for u in UNITS)
-    return f"""CASE WHEN ascii({w}) BETWEEN 48 AND 57 THEN '<num>'
-        WHEN ascii({before}) BETWEEN 48 AND 57 AND {_value(w)} IN ({units}) THEN '<unit>'
-        WHEN substring({w}, 1, 1) <> lower(substring({w}, 1, 1)) AND substring({before}, -1, 1) NOT IN ('.', '!', '?', ':') THEN '<name>'
-        ELSE {_value(w)} END"""
+    return f"""CASE WHEN {w} >= '0' AND {w} < ':' THEN '<num>'
+        WHEN {before} >= '0' AND {before} < ':' AND lower({w}) IN ({units}) THEN '<unit>'
+        WHEN lower({w}) <> {w} THEN '<name>'
+        ELSE {w} END"""
 
 
 def _windows(hashes: str, widths: list[int], value) -> str:
@@ -70,7 +68,7 @@ def _hash(i: str, width: int) -> str:
 
 def _slotted(rows: DataFrame, widths: list[int], *keep: str) -> DataFrame:
     """`keep`, at, hash, slots: a row for each window; at: its first word; slots: the values under its placeholders."""
-    tagged = rows.select(*keep, F.expr(f"transform(raw, (w, i) -> struct({_tag('w', 'i')} AS t, {_value('w')} AS v))").alias("words"))
+    tagged = rows.select(*keep, F.expr(f"transform(raw, (w, i) -> struct({_tag('w', 'i')} AS t, lower(w) AS v))").alias("words"))
     hashed = tagged.select(*keep, "words", F.expr("transform(words, w -> xxhash64(w.t))").alias("h"))
     slots = lambda i, n: f"transform(filter(slice(words, {i} + 1, {n}), w -> w.t IN ('<num>', '<unit>', '<name>')), w -> w.v)"
     return hashed.select(*keep, F.expr(f"inline({_windows('h', widths, lambda i, n: f'struct({i} AS at, {_hash(i, n)} AS hash, {slots(i, n)} AS slots)')})"))
@@ -99,7 +97,7 @@ def _agreement(aligned: DataFrame, containment: float) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", containment: float = CONTAINMENT, consistency: float = CONSISTENCY) -> DataFrame:
-    """doc_id, key (hash of id and text), item_id, n_windows, n_found, containment, consistency, verbatim."""
+    """doc_id, key (of id and text), item_id, n_windows, n_found, containment, consistency, verbatim."""
     known = benchmark.where("item_id IS NOT NULL").withColumn("part", F.xxhash64(text))
     items = _words(known, text, "item_id", "part").where("size(raw) > 0")
     widths = sorted(r["n"] for r in items.select(F.least(F.size("raw"), F.lit(WIDTH)).alias("n")).distinct().collect())  # five values at most
@@ -114,17 +112,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", containme
     small = asked.count() <= BROADCAST_WINDOWS
     bounded = F.broadcast if small else (lambda df: df)
 
-    rows = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64("doc_id", text).alias("key"))
+    rows = docs.select("doc_id", F.col(f"`{text}`").alias("text"), row_key("doc_id", text).alias("key"))
     hashed = _words(rows, "text", "doc_id", "key").select("doc_id", "key", F.expr(f"transform(raw, (w, i) -> xxhash64({_tag('w', 'i')}))").alias("h"))
     seen = hashed.select("doc_id", "key", F.explode(F.expr(_windows("h", widths, _hash))).alias("hash"))
     found = seen.join(bounded(distinct), "hash").groupBy("doc_id", "key", "item_id").agg(F.countDistinct("hash").alias("n_found"))
     candidates = materialized(found.join(bounded(total), "item_id").where(F.col("n_found") >= containment * F.col("n_windows") - 1e-9), "candidates")
 
-    # the candidates are a written table: Spark knows its size and broadcasts it only if small
-    some = candidates.select(F.col("doc_id").alias("id"), F.col("key").alias("k")).distinct()
-    again = rows.join(some, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["key"])
+    again = among(rows, candidates).dropDuplicates(["key"])
     items_at = asked.select("item_id", "part", "hash", F.col("at").alias("of"), F.col("slots").alias("asked")).distinct()
-    aligned = _slotted(_words(again, "text", "doc_id", "key"), widths, "key").join(candidates.select("key", "item_id", "n_windows"), "key").join(items_at, ["item_id", "hash"])
+    aligned = _slotted(_words(again, "text", "doc_id", "key"), widths, "key").join(candidates.select("key", "item_id", "n_windows"), "key").join(bounded(items_at), ["item_id", "hash"])
     agreed = _agreement(materialized(aligned, "aligned"), containment)
     joined = candidates.join(agreed, ["key", "item_id"], "left")
     one = F.lit(1.0)
@@ -136,7 +132,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", containme
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """`docs` without those that match an item."""
-    hit = matches(docs, benchmark, text).select(F.col("key").alias("__key"), F.col("doc_id").alias("__id")).distinct()
-    hit = materialized(hit, "contaminated")
-    key = F.xxhash64("doc_id", text)
-    return docs.join(hit, (key == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    key = unused(docs.columns, "row_key")
+    hit = materialized(matches(docs, benchmark, text).select(F.col("key").alias(key)), "contaminated")
+    return among(docs.withColumn(key, row_key("doc_id", text)), hit, key, "left_anti").drop(key)
+
+
+def among(rows: DataFrame, some: DataFrame, key: str = "key", how: str = "left_semi") -> DataFrame:
+    """`rows` whose key a written table `some` has (or, left_anti, lacks): by broadcast up to BROADCAST_ROWS keys, beyond that as Spark chooses."""
+    keys = some.select(key).distinct()
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, key, how)
