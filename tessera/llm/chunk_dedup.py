@@ -6,7 +6,7 @@ apart by a 128-bit digest. Every chunk, however short, is looked up; it is a cop
 document with a smaller doc_id holds it. In a document, copies that touch form a run; runs
 of MIN_RUN bytes or more are removed, so every removed byte lies in a chunk that was found.
 
-Documents are dealt into groups of about GROUP_DOCS. A group names each of its different
+Documents are dealt into groups of bounded size. A group names each of its different
 chunks once, with the smallest doc_id; digests meet in buckets, and a bucket tells a group
 only the owners that are smaller than the group's own. So a chunk that stands everywhere
 crosses the network once for each group.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .suffix_dedup import _by_bucket, _docs
+from .suffix_dedup import _by_bucket, _docs, dealt_groups
 
 WINDOW = 32
 #: Highest bits that are zero at a border: chunks of 32 bytes on average.
@@ -35,8 +35,8 @@ BITS = 5
 #: Every chunk is looked up.
 MIN_CHUNK = 1
 MIN_RUN = 48
-#: Documents in a group, and text bytes behind a bucket of digests.
-GROUP_DOCS, BUCKET_BYTES = 1024, 32_000_000
+#: Documents and text bytes in a group, text bytes behind a bucket of digests, and in one task.
+GROUP_DOCS, GROUP_BYTES, BUCKET_BYTES, TASK_BYTES = 4096, 4_000_000, 32_000_000, 32_000_000
 #: A number for each byte, from the SHA-256 of the byte.
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "little") for b in range(256)], np.uint32)
 
@@ -175,15 +175,11 @@ def _cut(buckets: int):
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, owners (doc_ids that hold removed chunks first), kept (binary)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes")).first()
-    groups = max(1, math.ceil(size["n"] / GROUP_DOCS))
-    buckets = max(1, math.ceil((size["bytes"] or 0) / BUCKET_BYTES))
-    keyed = rows.withColumn("key", F.xxhash64("text")).select(F.pmod(F.xxhash64("doc_id", "key"), F.lit(groups)).alias("g"), "doc_id", "key", "text")
-    dealt = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g")  # the one shuffle of texts; both steps read it
+    dealt, size, tasks = dealt_groups(rows, GROUP_DOCS, GROUP_BYTES, TASK_BYTES)
+    buckets = max(1, math.ceil(size / BUCKET_BYTES))
     listed = dealt.groupBy("g").applyInArrow(_listed(buckets), "b long, g long, digests binary, least binary")
-    told = listed.groupBy("b").applyInArrow(_owners, "g long, b long, payload binary")
+    told = listed.repartition(tasks, "b").groupBy("b").applyInArrow(_owners, "g long, b long, payload binary")
     return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_cut(buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, owners array<bigint>, kept binary")
 
 

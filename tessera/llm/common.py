@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +19,7 @@ SLICE_BYTES = 4 << 20
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _LOCAL_SHARED: list[str] = []
+_SCRATCH: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,11 +47,58 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._tessera_path = path
+    return back
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """written(), for a step inside an operator: scratch() deletes it."""
+    back = written(df, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(back._tessera_path)
+    return back
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that materialized() wrote inside; so results made inside must have been written elsewhere by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _delete(spark, path)
+
+
+def forget(df: DataFrame | None) -> None:
+    """Deletes the table behind a written() result that nothing reads any more; other tables stay."""
+    path = getattr(df, "_tessera_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """`name`, lengthened until no column has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(doc_id: str, text: str) -> Column:
+    """128 bits for an id and text: never null, so equal rows, null ones included, have equal keys."""
+    part = lambda c: F.coalesce(F.concat(F.lit("t"), F.col(c).cast("string")), F.lit("n"))
+    return F.unhex(F.md5(F.concat(part(f"`{doc_id}`"), F.lit("\x00"), part(f"`{text}`")).cast("binary")))
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -1,9 +1,11 @@
 """Line-first quality rules.
 
 Each line is judged on its own: navigation (menus of short parts), boilerplate (notices
-that sites repeat) and punctuation (no letters, or symbols glued to most words). Failing
-lines are removed; a document that loses more than half of its word characters that way
-is rejected, as is one that fails the base rules (too short, or mostly repeated windows).
+that sites repeat, in the corpus's four languages) and punctuation (no letters; most words
+end in runs of signs; or a line of a few words that no closing mark ends, as headings,
+buttons and link lists are). Failing lines are removed; a document that loses more than
+half of its word characters that way is rejected, as is one that fails the base rules
+(too short, or mostly repeated windows).
 
 Null texts are empty: no words, so the base rules fail. Repeated rows are judged alone,
 each with the same result. Extra columns are not read; an empty table gives no rows.
@@ -24,9 +26,23 @@ MAX_REPEAT_PERCENT = 50
 MAX_LOST = 0.5
 #: Parts that separate a menu's entries, and notices that sites repeat.
 SEPARATORS = re.compile(r"\s[|»›·•]\s")
-BOILERPLATE = re.compile(r"all rights reserved|terms of (?:use|service)|privacy policy|accept (?:all )?cookies|use of cookies|subscribe to our|sign up for our|click here|skip to (?:main )?content|powered by|lorem ipsum|javascript (?:is|must be)", re.I)
+NOTICES = [
+    "all rights reserved", "terms of (?:use|service)", "privacy policy", "(?:accept|uses?|use of)(?: all)? cookies", "cookie (?:policy|settings)", "subscribe to our", "sign (?:up|in) (?:for|to) (?:our|your)",
+    "click here", "skip to (?:main )?content", "powered by", "lorem ipsum", "javascript (?:is|must be)", "share (?:this|on)", "read more", "back to top",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutz(?:erklärung|richtlinie)", "(?:verwendet|akzeptieren|verwendung von)(?: alle)? cookies", "newsletter (?:abonnieren|anmelden)", "hier klicken", "klicken sie hier",
+    "zum inhalt springen", "weiterlesen", "impressum", "nach oben",
+    "tous droits réservés", "conditions d['’]utilisation", "politique de confidentialité", "(?:utilise|accepter|utilisation de)(?: tous les| des)? cookies", "(?:abonnez|inscrivez)-vous", "cliquez ici", "aller au contenu", "lire la suite",
+    "mentions légales", "haut de page",
+    "todos los derechos reservados", "términos (?:de uso|y condiciones)", "política de privacidad", "(?:utiliza|aceptar|uso de)(?: todas las)? cookies", "suscríb(?:ete|ase)", "haga? cli[ck]+ aquí", "(?:ir|saltar) al contenido", "leer más",
+    "aviso legal", "volver arriba",
+]
+BOILERPLATE = re.compile("|".join(NOTICES), re.I)
+#: What may close a line: marks, closing quotes and brackets.
+CLOSING = ".!?…:;。！？\"'”’»)]"
+#: Words up to which a line must end in a closing mark; longer ones may be cut text.
+SHORT_LINE = 8
 SYMBOL = re.compile(r"[#*$%&|<>]")
-#: A word that ends in two or more signs of which at least one is no full stop, question or quotation mark.
+#: A word that ends in a run of signs of which at least two are no marks of a sentence.
 GLUED = re.compile(r"\w(?:[.,]?[#*$%&!<>=~^]{2,})(?=\s|$)")
 LETTER = re.compile(r"[^\W\d_]")
 SPACES = dict.fromkeys([0x20, *range(0x09, 0x0E)])
@@ -38,7 +54,7 @@ def line_fails(line: str, words: int) -> str:
         return "navigation"
     if words <= 40 and BOILERPLATE.search(line):
         return "boilerplate"
-    if not LETTER.search(line) or 2 * len(GLUED.findall(line)) > words:
+    if not LETTER.search(line) or 2 * len(GLUED.findall(line)) > words or (words <= SHORT_LINE and line.rstrip()[-1] not in CLOSING):
         return "punctuation"
     return ""
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, shared_path, strings
+from .common import map_rows, shared_path, strings, unused
 
 #: kind, pattern, group whose length counts, its least length. Leftmost matches that do not
 #: overlap within a kind; those whose group is too short are then dropped.
@@ -34,6 +34,8 @@ RULES: list[tuple[str, str, int, int]] = [
 ]
 BASE = ("assign", "access", "hex")
 PLACEHOLDER = "[SECRET]"
+#: Rows of one blob are dealt over so many join keys; blobs with findings, few and narrow, are repeated as often.
+SALTS = 16
 FINDINGS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -46,8 +48,8 @@ def blob_id(text: Column) -> Column:
 
 
 def find(text: str, rules: list) -> list[tuple[int, int, int]]:
-    """(start, end, number of the rule), by start, then rule."""
-    return sorted((m.start(), m.end(), k) for k, (pattern, group, least) in enumerate(rules) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least)
+    """(start, number of the rule, end), in that order."""
+    return sorted((m.start(), k, m.end()) for k, (pattern, group, least) in enumerate(rules) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least)
 
 
 def scan(texts: DataFrame, rules=RULES, keep: list[str] = ("blob_id",), text: str = "text") -> DataFrame:
@@ -59,7 +61,7 @@ def scan(texts: DataFrame, rules=RULES, keep: list[str] = ("blob_id",), text: st
         kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            found = [[{"kind": kinds[k], "start": a, "end": b} for a, b, k in find(t, compiled)] for t in strings(batch, text)]
+            found = [[{"kind": kinds[k], "start": a, "end": b} for a, k, b in find(t, compiled)] for t in strings(batch, text)]
             return [pa.array(found, pa.list_(kind))]
 
         return work
@@ -84,23 +86,31 @@ def update_ledger(versions: DataFrame, ledger_path: str, rules=RULES, text: str
     return spark.read.schema(schema).parquet(ledger_path).where(F.col("rule_version") == version).drop("rule_version")
 
 
+def _with_findings(versions: DataFrame, ledger: DataFrame, text: str, found: str) -> DataFrame:
+    """`versions` and, as `found`, the findings of its blob (null: none)."""
+    blob, salt = unused([*versions.columns, found], "blob"), unused([*versions.columns, found], "salt")
+    hits = ledger.where(F.size("findings") > 0).select(F.col("blob_id").alias(blob), F.col("findings").alias(found), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    others = [F.col(f"`{f.name}`") for f in versions.schema if f.name != text and "map<" not in f.dataType.simpleString()]
+    keyed = versions.withColumn(blob, blob_id(F.col(f"`{text}`"))).withColumn(salt, F.pmod(F.xxhash64(F.lit(0), *others), F.lit(SALTS)).cast("int"))
+    return keyed.join(hits, [blob, salt], "left").drop(blob, salt)
+
+
 def findings_by_path(versions: DataFrame, ledger: DataFrame, paths: list[str], text: str = "text") -> DataFrame:
     """`paths`, findings: a row for each row of `versions`."""
-    keyed = versions.select(*paths, blob_id(F.col(text)).alias("blob_id"))
-    return keyed.join(ledger.where(F.size("findings") > 0), "blob_id", "left").drop("blob_id")
+    return _with_findings(versions.select(*dict.fromkeys([*paths, text])), ledger, text, "findings").select(*paths, "findings")
 
 
 def redact(versions: DataFrame, ledger: DataFrame, text: str = "text", placeholder: str = PLACEHOLDER) -> DataFrame:
     """`versions` with every found span of the text replaced; overlapping spans become one."""
-    spans = F.expr("""aggregate(findings, cast(array() as array<struct<a:int,b:int>>), (m, f) ->
+    found = unused(versions.columns, "findings")
+    spans = f"""aggregate(sort_array(transform({found}, f -> struct(f.start as start, f.end as end))), cast(array() as array<struct<a:int,b:int>>), (m, f) ->
         case when size(m) > 0 and f.start <= element_at(m, -1).b
              then concat(slice(m, 1, size(m) - 1), array(struct(element_at(m, -1).a as a, greatest(element_at(m, -1).b, f.end) as b)))
-             else concat(m, array(struct(f.start as a, f.end as b))) end)""")
-    hits = ledger.where(F.size("findings") > 0).select(F.col("blob_id").alias("__blob"), spans.alias("__spans"))
+             else concat(m, array(struct(f.start as a, f.end as b))) end)"""
     mark = placeholder.replace("'", "''")
-    cut = F.expr(f"aggregate(reverse(__spans), `{text}`, (t, s) -> concat(substring(t, 1, s.a), '{mark}', substring(t, s.b + 1)))")
-    joined = versions.withColumn("__blob", blob_id(F.col(text))).join(hits, "__blob", "left")
-    return joined.select(*(F.when(F.col("__spans").isNull(), F.col(c)).otherwise(cut).alias(c) if c == text else F.col(f"`{c}`") for c in versions.columns))
+    cut = F.expr(f"aggregate(reverse({spans}), `{text}`, (t, s) -> concat(substring(t, 1, s.a), '{mark}', substring(t, s.b + 1)))")
+    joined = _with_findings(versions, ledger, text, found)
+    return joined.select(*(F.when(F.col(found).isNull(), F.col(f"`{c}`")).otherwise(cut).alias(c) if c == text else F.col(f"`{c}`") for c in versions.columns))
 
 
 def report(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:

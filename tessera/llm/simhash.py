@@ -12,7 +12,7 @@ fingerprints form components by alternating stars.
 Null texts are empty: fingerprint zero, linked like any other. Repeated rows each get the
 same result. A row with a null doc_id takes part in links; component ids come from the
 known ids (null if a component has none). Extra columns are ignored; an empty table gives
-no rows.
+no rows. deduplicated() keeps one of repeated rows, and all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialized
+from .common import map_rows, materialized, row_key, unused
 from .graph import components
 
 SEED = 42
@@ -33,6 +33,8 @@ SHINGLE = 3
 RADIUS = 3
 HALVES = 2
 _LOW = 0x5555555555555555
+#: A fingerprint of at least this share of all rows is joined by broadcast; there can be no more than its inverse.
+HOT_SHARE = 0.001
 
 
 def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -87,13 +89,16 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def grouped(docs: DataFrame, keep: list[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """`keep` (doc_id among them), fp, component_id, root; root is a key of the component that is never null."""
     rows = materialized(fingerprints(docs, keep, text), "fingerprints")
-    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = materialized(components(links(reps)).withColumnRenamed("node", "fp"), "roots")
+    reps = materialized(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct_fingerprints")
+    roots = materialized(components(links(reps.select("fp"))).withColumnRenamed("node", "fp"), "roots")
     linked = roots.join(reps, "fp")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     named = linked.join(least, "root").select("fp", "root", "least")
-    classes = reps.join(named, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return rows.join(classes, "fp")
+    classes = materialized(reps.join(named, "fp", "left").select("fp", "n", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"), F.coalesce("root", "fp").alias("root")), "classes")
+    least_hot = HOT_SHARE * (classes.agg(F.sum("n")).first()[0] or 0)
+    hot = F.broadcast(classes.where(F.col("n") >= least_hot).drop("n"))  # 1 / HOT_SHARE rows at most
+    cold = rows.join(hot.select("fp"), "fp", "left_anti").join(classes.where(F.col("n") < least_hot).drop("n"), "fp")
+    return rows.join(hot, "fp").unionByName(cold)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -104,9 +109,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with one document of each group: the smallest doc_id, then the smallest text hash; of equal rows one."""
-    keyed = docs.select("doc_id", text, F.xxhash64("doc_id", text).alias("__key"))
-    found = grouped(keyed, ["doc_id", "__key"], text)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("__key").alias("k"))).alias("s")).select(F.col("s.i").alias("__id"), F.col("s.k").alias("__key"))
-    marked = docs.withColumn("__key", F.xxhash64("doc_id", text))
-    joined = marked.join(kept, (marked["__key"] == kept["__key"]) & marked["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    return joined.dropDuplicates(["__key"]).drop("__key")
+    key = unused(docs.columns, "row_key")
+    keyed = docs.select("doc_id", text).withColumn(key, row_key("doc_id", text))
+    found = grouped(keyed, ["doc_id", key], text)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col(key).alias("k"))).alias("s"))
+    marked = docs.withColumn(key, row_key("doc_id", text))
+    return marked.join(kept.select(F.col("s.k").alias(key)), key, "left_semi").dropDuplicates([key]).drop(key)

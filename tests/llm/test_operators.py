@@ -18,6 +18,8 @@ from tessera.llm import bpe, chat, chunk_dedup, classifier, decontaminate, licen
 from tessera.llm.suffixes import common_prefixes, suffix_array
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+#: Names that operators might use for columns of their own.
+CLASHING = ["__key", "__blob", "__score", "__id", "__spans", "row_key", "row_key_", "blob", "salt", "findings", "score", "score_", "fp", "key", "g", "label", "n", "i", "s", "root", "rep", "cell"]
 DDL = SCHEMA + ", key string, fp string, ids string, score string, findings string, g string, blob_id string"
 rng = random.Random(5)
 WORDS = ["".join(rng.choice("abcdeghilmnorstu") for _ in range(rng.randint(2, 8))) for _ in range(400)]
@@ -401,3 +403,213 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert "04dbebab" not in x[3002] and all(x[i] == b[i] for i in x if i != 3002)
     assert now.where("NOT round_trip").count() == 0
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()) == sorted(t)
+
+
+def test_clashing_columns_stay(spark, docs, tmp_path):
+    wide = docs.select("doc_id", "text", *(F.lit(c).alias(c) for c in CLASHING))
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    same_values = " AND ".join(f"`{c}` = '{c}'" for c in CLASHING)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns == wide.columns, name
+        assert out.count() == out.where(same_values).count() > 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, str(tmp_path)).count() == docs.count()
+    for report in (licenses.report, secrets.report, simhash.report, quality_rules.clean, suffix_dedup.report, chunk_dedup.report):
+        assert report(wide).count() == docs.count()
+    assert decontaminate.matches(wide, bench.withColumn("key", F.lit(1))).count() > 0
+    model = classifier.fit(wide, labels)
+    assert classifier.score(wide, model, keep=wide.columns, name="score__").where(same_values).count() == docs.count()
+    chats = spark.createDataFrame([(1, t, r, "x", "a", "b", "c") for t, r in enumerate(["user", "assistant"])], "conv_id bigint, turn bigint, role string, text string, segments string, valid string, name string")
+    assert [r["n_turns"] for r in chat.read_back(chat.format_chat(chats)).collect()] == [2]
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, now, sf).count() == 0
+
+
+def brute_features(text):
+    """Buckets of one text, one by one, by the definition."""
+    mask, base = (1 << 64) - 1, int(classifier.BASE)
+    bucket = lambda h: (h * int(classifier.MIX) & mask) >> 47
+    space = lambda b: b == 0x20 or 9 <= b <= 13
+    data = b" " + text + b" "
+    value = [1 if space(b) else b + 2 for b in data]
+    out, words = [classifier.END], re.findall(rb"[^\x20\x09-\x0D]+", text)
+    for w in words:
+        out.append(bucket(sum((b + 2) * pow(base, k, 1 << 64) for k, b in enumerate(w)) & mask))
+    out += [classifier.AGAIN] * sum(a == b for a, b in zip(words, words[1:]))
+    for size in classifier.NGRAMS:
+        for at in range(len(data) - size + 1):
+            if not any(space(b) for b in data[at + 1 : at + size - 1]):
+                h = size
+                for v in value[at : at + size]:
+                    h = (h * base + v) & mask
+                out.append(bucket(h))
+    return out
+
+
+def test_classifier_features_and_query(spark, tmp_path):
+    texts = [(t or "").encode() for t in TEXTS]
+    buckets, owners = classifier.features(*classifier.joined(texts))
+    for i, t in enumerate(texts):
+        assert sorted(buckets[owners == i].tolist()) == sorted(brute_features(t)), i
+    from tessera.llm.queries import op5_quality_classifier
+
+    rows = [(i, prose(60, i) if i % 4 else " ".join(w + "%%%" for w in prose(60, i).split()), "en", "s", 1) for i in range(400)] + [(None, "x", "en", "s", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(400)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in op5_quality_classifier(spark, str(tmp_path)).collect()}
+    assert len(got) == 401 and not got[None]["held_out"]
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(400))
+    assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got.values())
+    assert np.mean([got[i]["predicted"] == (i % 4 > 0) for i in range(400) if got[i]["held_out"]]) > 0.95
+
+
+def test_classifier_bounds_what_it_learns_from(spark):
+    rows = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("copy "), F.col("id").cast("string")).alias("text"))
+    more = spark.createDataFrame([(8, "other words"), (9, "x" * (classifier.MAX_TRAIN_BYTES + 1))], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 0), (9, 0)], "doc_id bigint, quality int")
+    seen = []
+    keep = classifier.train
+    try:
+        classifier.train = lambda texts, labels, seed=7: seen.append((texts, labels.tolist())) or keep(texts, labels, seed)
+        classifier.fit(rows.unionByName(more), labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    finally:
+        classifier.train = keep
+    assert sorted(t for t in seen[0][0]) == sorted(t for i, t in ((7, b"copy 0"), (8, b"other words")) if zlib.crc32(str(i).encode()) % 5)
+
+
+def test_secret_rules_and_versions(spark, tmp_path):
+    text = "-----BEGIN RSA PRIVATE KEY----- ghp_" + "Zq1" * 12 + " xoxb-1234567890ab eyJabcdefgh1.eyJabcdefgh2.abcdefgh3 ok"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "plain")], "doc_id bigint, text string")
+    kinds = [[f["kind"] for f in r["findings"]] for r in secrets.scan(docs, keep=["doc_id"]).orderBy("doc_id").collect()]
+    assert kinds == [["pem", "github", "slack", "jwt"]] * 2 + [[]]
+    ledger = str(tmp_path / "ledger")
+    secrets.update_ledger(docs, ledger)
+    fewer = secrets.RULES[:3]
+    under = secrets.update_ledger(docs, ledger, fewer)  # a changed rule version is a new pair for every blob
+    assert under.count() == 2 and under.where(F.size("findings") > 0).count() == 0
+    assert spark.read.parquet(ledger).groupBy("rule_version").count().select("count").distinct().collect()[0][0] == 2
+    clean = secrets.redact(docs, secrets.update_ledger(docs, ledger))
+    assert {r["text"] for r in clean.collect()} == {"[SECRET] [SECRET] [SECRET] [SECRET] ok", "plain"}
+    assert spark.read.parquet(ledger).count() == 4
+
+
+def test_quality_rules_by_line():
+    fails = quality_rules.line_fails
+    assert fails("Home | News | Sport | Weather | Help", 9) == "navigation"
+    for notice in ("© 2020 Acme. All rights reserved.", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.", "Wir verwenden: diese Seite verwendet Cookies.", "Ce site utilise des cookies."):
+        assert fails(notice, len(notice.split())) == "boilerplate", notice
+    for junk in ("123 456", "AB!! CD!! EF.", "Related posts", "Read on"):
+        assert fails(junk, len(junk.split())) == "punctuation", junk
+    for good in ("He came, saw and won.", "“Really?”", "A cut line of more than eight words that nothing closes here", "Ja, nein, gut, so."):
+        assert fails(good, len(good.split())) == "", good
+
+
+def test_hot_anchors_and_blocks_change_nothing(spark, monkeypatch):
+    shared = prose(30, 4242)
+    texts = [prose(3 + i % 7, 7000 + i) + " " + shared + " " + prose(2 + i % 5, 7500 + i) for i in range(60)] + [prose(40, 9000)] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = sorted(map(tuple, suffix_dedup.report(docs).collect()))
+    for name, value in (("GROUP_DOCS", 5), ("BUCKET_BYTES", 2000), ("HOT_PIECES", 20), ("BLOCK", 300), ("SLICE", 128), ("TASK_BYTES", 1000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    assert sorted(map(tuple, suffix_dedup.report(docs).collect())) == want
+    first, expected = {}, []
+    for i, b in enumerate(t.encode() for t in texts):
+        gone = bytearray(len(b))
+        for j in range(len(b) - 49):
+            if first.setdefault(b[j : j + 50], i) < i:
+                gone[j : j + 50] = b"\1" * 50
+        expected.append((i, len(b), sum(gone), len(re.findall(b"\1+", gone)), sha(bytes(x for x, g in zip(b, gone) if not g))))
+    assert want == expected
+
+
+def test_long_texts(spark):
+    long = prose(60_000, 31)  # some 350 KB
+    docs = spark.createDataFrame([(1, long), (2, "intro " + long), (3, long[:2000])], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in suffix_dedup.report(docs).collect()}
+    assert got[2]["n_removed"] == len(long) and got[3]["n_removed"] == 2000 and got[1]["n_removed"] == 0
+    cut = {r["doc_id"]: r for r in chunk_dedup.report(docs).collect()}
+    assert cut[2]["n_removed"] > len(long) - 200
+    assert {r["component_id"] for r in simhash.report(docs.where("doc_id < 3")).collect()} == {1}
+    assert quality_rules.judge(long)[0] == 60_000
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert bpe.round_trip(docs, path, public_tokenizers.PATTERN).where("NOT round_trip").count() == 0
+    assert licenses.report(docs.withColumn("text", F.concat("text", F.lit(" under the mit license")))).where("base_labels = 'mit' AND n_base = 1").count() == 3
+    assert decontaminate.matches(docs, spark.createDataFrame([(5, long[-400:])], "item_id bigint, text string")).count() == 2
+
+
+def test_decontamination_brute_force(spark):
+    r = random.Random(77)
+    names, units = ["Anna", "Bob", "Olga", "Rome"], ["km", "kg", "hours", "boxes"]
+    stems = [[r.choice(WORDS) for _ in range(r.randint(12, 20))] for _ in range(6)]
+
+    def told(stem, seed):
+        s = random.Random(seed)
+        out = list(stem)
+        for k in range(1, len(out), 4):
+            out[k] = s.choice([str(s.randint(2, 99)), s.choice(names)])
+        if out[5].isdigit():
+            out[6] = s.choice(units)
+        return " ".join(out)
+
+    items = [(i, told(stem, i)) for i, stem in enumerate(stems)]
+    docs = [(100 + k, prose(12, k) + " " + told(r.choice(stems), r.choice([r.randint(0, 5), k])) + " " + prose(9, 50 + k)) for k in range(40)]
+    docs += [(200 + i, t) for i, t in items] + [(300, prose(80, 12)), (301, None)]
+
+    def template(text):
+        raw, out = re.findall(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+|[%€$£]", text or ""), []
+        for k, w in enumerate(raw):
+            if w[0].isdigit():
+                out.append(("<num>", w))
+            elif k and raw[k - 1][0].isdigit() and w.lower() in decontaminate.UNITS:
+                out.append(("<unit>", w.lower()))
+            elif w != w.lower():
+                out.append(("<name>", w.lower()))
+            else:
+                out.append((w.lower(), w.lower()))
+        return out
+
+    windows = lambda t: [tuple(x for x, _ in t[k : k + 5]) for k in range(len(t) - 4)]
+    expected = {}
+    for i, text in items:
+        item = template(text)
+        asked = windows(item)
+        for d, body in docs:
+            doc = template(body)
+            have = windows(doc)
+            found = set(asked) & set(have)
+            if len(found) < 0.8 * len(set(asked)) - 1e-9:
+                continue
+            expected[d, i] = len(found) / len(set(asked))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string")
+    loose = {(x["doc_id"], x["item_id"]): x for x in decontaminate.matches(rows, bench, consistency=0.0).collect()}
+    assert {k: x["containment"] for k, x in loose.items()} == expected and len(expected) > 10
+    # a single occurrence without drift: each slot value of the item must stand for one value of the document
+    strict = {(x["doc_id"], x["item_id"]) for x in decontaminate.matches(rows, bench).collect()}
+    for (d, i), x in loose.items():
+        item, doc = template(items[i][1]), template(dict(docs)[d])
+        offsets = [b - a for a in range(len(item) - 4) for b in range(len(doc) - 4) if [t for t, _ in item[a : a + 5]] == [t for t, _ in doc[b : b + 5]]]
+        at = max(set(offsets), key=offsets.count)
+        pairs = {}
+        for a in range(len(item) - 4):
+            if at + a >= 0 and [t for t, _ in item[a : a + 5]] == [t for t, _ in doc[at + a : at + a + 5]]:
+                for (t, v), (_, w) in zip(item[a : a + 5], doc[at + a : at + a + 5]):
+                    if t[0] == "<":
+                        pairs.setdefault(v, []).append(w)
+        n = sum(map(len, pairs.values()))
+        share = sum(max(v.count(w) for w in v) for v in pairs.values()) / n if n else 1.0
+        if offsets.count(at) == len(item) - 4:
+            assert x["consistency"] >= share - 1e-9 and ((d, i) in strict or share < 0.8)
+    assert {(200 + i, i) for i, _ in items} <= strict
