@@ -1,4 +1,4 @@
-"""Measurement markups."""
+"""Measurement markups."""
 
 from __future__ import annotations
 
@@ -44,3 +44,12 @@ def committed(drafts: DataFrame) -> DataFrame:
     enough = f"""CASE type WHEN 'rect' THEN {_SPAN('x')} > 0.2D AND {_SPAN('y')} > 0.2D WHEN 'ellipse' THEN {_SPAN('x')} > 0.2D AND {_SPAN('y')} > 0.2D
         WHEN 'arrow' THEN hypot({_SPAN('x')}, {_SPAN('y')}) > 0.1D WHEN 'area' THEN size(points) >= 3 WHEN 'length' THEN size(points) >= 2 ELSE true END"""
     return cleaned.where(enough)
+
+
+def accumulated(clicks: DataFrame) -> DataFrame:
+    """V6: one count markup for each run of clicks (project_id, run_id, ord, x, y), its points in the order of the clicks.
+
+    A run is one use of the count tool; it bounds the array.
+    """
+    points = F.transform(F.sort_array(F.collect_list(F.struct("ord", "x", "y"))), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
+    return clicks.groupBy("project_id", "run_id").agg(points.alias("points")).select("project_id", F.col("run_id").alias("markup_id"), F.lit("count").alias("type"), "points", F.lit("Count").alias("name"))

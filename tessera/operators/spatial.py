@@ -1,4 +1,4 @@
-"""Picking, snapping and fitting.
+"""Picking, snapping and fitting.
 
 Rooms meet pointers of their own project, so each of these is an equi-join with a spatial test behind it.
 """
@@ -12,20 +12,61 @@ from ..functions import geometry as G
 from ..functions import units as U
 
 
+def _ordered(rooms: DataFrame) -> DataFrame:
+    """A struct to order a project's rooms by, from the lowest to the topmost."""
+    return F.struct("room_ord", "room_id") if "room_ord" in rooms.columns else F.struct("room_id")
+
+
 def topmost_room(rooms: DataFrame, points: DataFrame) -> DataFrame:
-    """Points (point_id, project_id, x, y) with the last room of their project that contains them, or null."""
-    inside = points.join(rooms.select("project_id", "room_id", "points"), "project_id").where(F.expr(G.contains("x", "y", "points")))
-    top = inside.groupBy("point_id").agg(F.max("room_id").alias("room_id"))
+    """Points (point_id, project_id, x, y) with the last room of their project that contains them, or null."""
+    placed = rooms.select("project_id", "room_id", "points", _ordered(rooms).alias("place"))
+    inside = points.join(placed, "project_id").where(F.expr(G.contains("x", "y", "points")))
+    top = inside.groupBy("point_id").agg(F.max_by("room_id", "place").alias("room_id"))
     return points.join(top, "point_id", "left").select("point_id", "project_id", "x", "y", "room_id")
 
 
+def on_screen(points: str, scale: str, zoom: str, shift_x: str, shift_y: str) -> str:
+    """SQL for vertices in screen pixels."""
+    at = lambda a, shift: G.to_screen(G.to_px(f"p.{a}", scale), zoom, shift)
+    return f"transform({points}, p -> named_struct('x', {at('x', shift_x)}, 'y', {at('y', shift_y)}))"
+
+
+def hit_test(rooms: DataFrame, pointers: DataFrame, reach: float = 9.0) -> DataFrame:
+    """V4: for pointers (point_id, project_id, sx, sy, scale, zoom, shift_x, shift_y, selected) the topmost room under them, or null.
+
+    A room is under a pointer if its polygon on the screen contains it, or if it is the selected room and a vertex is nearer
+    than `reach` pixels; `vertex` is the first such vertex (from 0), else null.
+    """
+    joined = pointers.join(rooms.select("project_id", "room_id", "points", _ordered(rooms).alias("place")), "project_id")
+    drawn = joined.withColumn("path", F.expr(on_screen("points", "scale", "zoom", "shift_x", "shift_y")))
+    near = f"CASE WHEN room_id = selected THEN get(filter(sequence(0, size(path) - 1), i -> hypot(sx - path[i].x, sy - path[i].y) < {reach}), 0) END"
+    hits = drawn.withColumn("vertex", F.expr(near)).where(F.col("vertex").isNotNull() | F.expr(G.contains("sx", "sy", "path")))
+    top = hits.groupBy("point_id").agg(F.max_by(F.struct("room_id", "vertex"), "place").alias("top"))
+    return pointers.join(top, "point_id", "left").select("point_id", "project_id", "top.room_id", "top.vertex")
+
+
 def marquee(rooms: DataFrame, drags: DataFrame, least: float = 3.0) -> DataFrame:
-    """For drags (drag_id, project_id, x0, y0, x1, y1) the rooms whose bounds the rectangle touches; short drags pick nothing."""
+    """For drags (drag_id, project_id, x0, y0, x1, y1) the rooms whose bounds the rectangle touches; short drags pick nothing.
+
+    Drags and rooms are in one system of coordinates: pass rooms through on_screen() for drags in pixels.
+    """
     boxed = rooms.select("project_id", "room_id", F.expr(G.bounds("points")).alias("b"))
     real = drags.where(F.expr(f"hypot(x1 - x0, y1 - y0) >= {least}"))
     return real.join(boxed, "project_id").where("b.minx <= greatest(x0, x1) AND b.maxx >= least(x0, x1) AND b.miny <= greatest(y0, y1) AND b.maxy >= least(y0, y1)").select("drag_id", "project_id", "room_id")
 
 
+def selection(hits: DataFrame, drags: DataFrame, selected: DataFrame) -> DataFrame:
+    """What is selected after each drag: its hits, and for drags with `add` the rooms that were (project_id, room_id) selected; each once."""
+    kept = drags.where("add").select("drag_id", "project_id").join(selected.select("project_id", "room_id"), "project_id")
+    return hits.select("drag_id", "project_id", "room_id").unionByName(kept.select("drag_id", "project_id", "room_id")).distinct()
+
+
+def toggled_selection(selected: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Rooms (project_id, room_id) selected after clicks that each turn a room on or off: those touched an odd number of times, the first selection counting once."""
+    touched = selected.select("project_id", "room_id").distinct().unionByName(clicks.select("project_id", "room_id"))
+    return touched.groupBy("project_id", "room_id").agg(F.count("*").alias("n")).where("n % 2 = 1").select("project_id", "room_id")
+
+
 def drawn_rooms(drags: DataFrame) -> DataFrame:
     """V1: rectangles from drags, sides snapped to half a foot if the project has a scale; small ones go."""
     side = lambda a: F.expr(f"CASE WHEN coalesce(scale, 0D) <> 0 THEN {U.snap(f'({a}1 - {a}0)', '0.5D')} ELSE {a}1 - {a}0 END")
@@ -45,18 +86,28 @@ def resized(rooms: DataFrame, w: str, h: str) -> DataFrame:
     return rooms.withColumn("__b", F.expr(b)).withColumn("points", F.expr(G.rect("__b.minx", "__b.miny", f"greatest(0.25D, {w})", f"greatest(0.25D, {h})"))).drop("__b")
 
 
-def fit(rooms: DataFrame, width: float = 1200.0, height: float = 800.0, pad: float = 80.0) -> DataFrame:
-    """The view of each project that shows all rooms; zoom within 0.05 and 8."""
-    boxed = rooms.select("project_id", F.expr(G.bounds("points")).alias("b")).groupBy("project_id").agg(F.min("b.minx").alias("minx"), F.min("b.miny").alias("miny"), F.max("b.maxx").alias("maxx"), F.max("b.maxy").alias("maxy"))
+def fit(rooms: DataFrame, projects: DataFrame, width: float = 1200.0, height: float = 800.0, pad: float = 80.0) -> DataFrame:
+    """The view of each project that shows all its rooms, which are drawn in pixels by the project's scale; zoom within 0.05 and 8. Without rooms the view is the plain one."""
+    boxed = rooms.select("project_id", F.expr(G.bounds("points")).alias("b")).groupBy("project_id").agg(*(F.expr(f"{f}(b.{f}{a})").alias(f"{f}{a}") for f in ("min", "max") for a in "xy"))
+    drawn = projects.select("project_id", "scale").join(boxed, "project_id", "left").select("project_id", *(F.expr(G.to_px(c, "scale")).alias(c) for c in ("minx", "miny", "maxx", "maxy")))
     side = lambda a: F.coalesce(F.nullif(F.col(f"max{a}") - F.col(f"min{a}"), F.lit(0.0)), F.lit(1.0))
-    sized = boxed.withColumns({"bw": side("x"), "bh": side("y")})
+    sized = drawn.withColumns({"bw": side("x"), "bh": side("y")})
     inner_w, inner_h = width - 2 * pad, height - 2 * pad
-    zoomed = sized.withColumn("zoom", F.greatest(F.lit(0.05), F.least(F.lit(8.0), F.least(inner_w / F.col("bw"), inner_h / F.col("bh")))))
-    return zoomed.select("project_id", "zoom", (pad - F.col("minx") * F.col("zoom") + (inner_w - F.col("bw") * F.col("zoom")) / 2).alias("x"), (pad - F.col("miny") * F.col("zoom") + (inner_h - F.col("bh") * F.col("zoom")) / 2).alias("y"))
+    zoomed = sized.withColumn("zoom", F.when(F.col("minx").isNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(0.05), F.least(F.lit(8.0), F.least(inner_w / F.col("bw"), inner_h / F.col("bh"))))))
+    shift = lambda a, inner: F.coalesce(pad - F.col(f"min{a}") * F.col("zoom") + (inner - F.col(f"b{'w' if a == 'x' else 'h'}") * F.col("zoom")) / 2, F.lit(80.0)).alias(a)
+    return zoomed.select("project_id", "zoom", shift("x", inner_w), shift("y", inner_h))
 
 
 def camera(rooms: DataFrame) -> DataFrame:
-    """The middle of each project's room centres, and the largest distance from it to a centre."""
-    centres = rooms.select("project_id", F.expr(G.centroid("points")).alias("c")).select("project_id", "c.x", "c.y")
-    middle = centres.groupBy("project_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    return centres.join(middle, "project_id").groupBy("project_id", "cx", "cy").agg(F.max(F.expr("hypot(x - cx, y - cy)")).alias("radius"))
+    """The middle of each project's room centres, the span (largest distance of a vertex from its own room's centre, 10 at least), and the camera's place."""
+    reach = "array_max(transform(points, p -> hypot(p.x - c.x, p.y - c.y)))"
+    spans = rooms.select("project_id", "points", F.expr(G.centroid("points")).alias("c")).select("project_id", "c.x", "c.y", F.expr(reach).alias("reach"))
+    seen = spans.groupBy("project_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.greatest(F.lit(10.0), F.max("reach")).alias("span"))
+    far = seen.withColumn("far", F.expr("greatest(20D, span * 3D + 15D)"))
+    return far.select("project_id", "cx", "cy", "span", F.expr("cx + far * 0.6D").alias("eye_x"), F.expr("far * 0.7D").alias("eye_y"), F.expr("far * 0.6D - cy").alias("eye_z"))
+
+
+def plan_plane(width_px: str, height_px: str, scale: str) -> str:
+    """SQL for a plan's size in feet: by the scale, else 40 ft wide."""
+    known = f"coalesce({scale}, 0D) <> 0 AND coalesce({width_px}, 0D) <> 0 AND coalesce({height_px}, 0D) <> 0"
+    return f"CASE WHEN {known} THEN named_struct('w', {width_px} * {scale}, 'h', {height_px} * {scale}) ELSE named_struct('w', 40D, 'h', try_divide(40D * {height_px}, {width_px})) END"

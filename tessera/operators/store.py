@@ -1,4 +1,4 @@
-"""Changes to projects as transforms of whole tables.
+"""Changes to projects as transforms of whole tables.
 
 A patch table has a row for each change; applying it is a join, so a thousand edits cost as
 much as one.
@@ -88,9 +88,19 @@ def owned(rows: DataFrame, owner: int) -> DataFrame:
     return rows.where(F.col("owner") == owner)
 
 
-def listed(stored: DataFrame) -> DataFrame:
-    """The columns of a project list, archived ones left out, latest first."""
-    return stored.where("NOT archived").select("project_id", "name", "floor_sf", "total_cost", "updated_at", "archived").orderBy(F.desc("updated_at"), "project_id")
+def listed(stored: DataFrame, *more: str) -> DataFrame:
+    """The columns of a project list (and `more`), archived ones left out, latest first."""
+    return stored.where("NOT archived").select("project_id", "name", "floor_sf", "total_cost", "updated_at", "archived", *more).orderBy(F.desc("updated_at"), "project_id")
+
+
+def library_places(tiles: DataFrame) -> DataFrame:
+    """`tiles` with their place in their owner's list, newest first."""
+    return tiles.withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("created_at"), "tile_id")))
+
+
+def stamped(changes: DataFrame, now: str = "current_timestamp()") -> DataFrame:
+    """Changes as they are stored, with the time of the change."""
+    return changes.withColumn("updated_at", F.expr(now))
 
 
 def single(rows: DataFrame, key: str, value) -> DataFrame:

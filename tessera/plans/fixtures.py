@@ -34,7 +34,8 @@ def rooms(duck: bool = False) -> str:
     ]
     points = "CASE o_orderkey % 4 " + " ".join(f"WHEN {i} THEN {_points(s, duck)}" for i, s in enumerate(shapes)) + " END"
     return f"""SELECT o_custkey AS project_id, o_orderkey AS room_id, concat('Room ', CAST(o_orderkey % 50 AS VARCHAR(9))) AS name, {points} AS points,
-        8e0 + o_orderkey % 3 AS wall_height, {C.case('o_orderkey % 6', list(C.WASTE))} AS pattern
+        8e0 + o_orderkey % 3 AS wall_height, {C.case('o_orderkey % 6', list(C.WASTE))} AS pattern, CAST(o_orderkey AS INTEGER) AS room_ord,
+        (o_orderkey % 4) * 15e0 AS angle_deg, (o_orderkey % 5) * 0.25e0 AS origin_x, (o_orderkey % 7) * 0.125e0 AS origin_y
         FROM (SELECT o_orderkey, o_custkey, 6e0 + (o_orderkey % 29) * 0.25e0 AS w, 5e0 + (o_orderkey % 23) * 0.375e0 AS h FROM orders)"""
 
 

@@ -54,10 +54,10 @@ def _area(sf: str, system: str) -> str:
     return f"CASE WHEN {system} LIKE 'metric%' THEN concat({NUM(RND(f'{sf} * 0.09290304e0', 2))}, ' m²') ELSE concat({NUM(RND(sf, 1))}, ' sf') END"
 
 
-_TILES = f"""pairs AS (SELECT b.room_id, b.material_id, r.points, r.pattern AS p, (tw + grout) / 12e0 AS tw, (th + grout) / 12e0 AS th, {LOW('r.points', 'x')} AS bx0, {HIGH('r.points', 'x')} AS bx1, {LOW('r.points', 'y')} AS by0, {HIGH('r.points', 'y')} AS by1
+_TILES = f"""pairs AS (SELECT b.room_id, b.material_id, r.points, r.pattern AS p, r.origin_x AS ox, r.origin_y AS oy, (tw + grout) / 12e0 AS tw, (th + grout) / 12e0 AS th, {LOW('r.points', 'x')} AS bx0, {HIGH('r.points', 'x')} AS bx1, {LOW('r.points', 'y')} AS by0, {HIGH('r.points', 'y')} AS by1
   FROM bridge b JOIN rooms r USING (room_id) JOIN materials m USING (material_id)),
 region AS (SELECT *, bx0 - 2e0 * greatest(tw, th) AS x0, by0 - 2e0 * greatest(tw, th) AS y0, bx1 + 2e0 * greatest(tw, th) AS x1, by1 + 2e0 * greatest(tw, th) AS y1, greatest(tw, th) AS lg, least(tw, th) AS sh FROM pairs),
-grid AS (SELECT *, 0e0 - ceil((0e0 - x0) / tw) * tw AS gx, 0e0 - ceil((0e0 - y0) / th) * th AS gy FROM region WHERE p NOT IN ('herringbone', 'basketweave')),
+grid AS (SELECT *, ox - ceil((ox - x0) / tw) * tw AS gx, oy - ceil((oy - y0) / th) * th AS gy FROM region WHERE p NOT IN ('herringbone', 'basketweave')),
 gr AS (SELECT *, unnest(range(0, CAST(ceil((y1 - gy) / th) AS BIGINT) + 1)) AS r FROM grid),
 gc AS (SELECT *, unnest(range(-1, CAST(ceil((x1 - gx) / tw) AS BIGINT) + 2)) AS c FROM gr),
 hr AS (SELECT *, unnest(range(-1, CAST(ceil((y1 - y0) / (lg + sh)) AS BIGINT) + 3)) AS r FROM region WHERE p = 'herringbone'),
@@ -81,7 +81,7 @@ _VALUE = f"""CASE type WHEN 'length' THEN {SUM(f"list_transform(range(2, len(poi
     WHEN 'area' THEN {AREA('points')} WHEN 'rect' THEN dx * dy WHEN 'ellipse' THEN pi() * (dx / 2e0) * (dy / 2e0) WHEN 'count' THEN CAST(len(points) AS DOUBLE) ELSE 0e0 END"""
 _MARKS = f"valued AS (SELECT *, {_VALUE} AS value FROM {_M} AS m)"
 _UNIT = "CASE WHEN type = 'length' THEN 'lf' WHEN type IN ('area', 'rect', 'ellipse') THEN 'sf' WHEN type = 'count' THEN 'ea' ELSE '' END"
-_DRAGS = """drags AS (SELECT markup_id AS drag_id, project_id, scale, (markup_id % 13) * 0.7e0 AS x0, (markup_id % 11) * 0.6e0 AS y0, (markup_id % 17) * 0.9e0 AS x1, (markup_id % 7) * 1.1e0 AS y1 FROM markups JOIN projects USING (project_id))"""
+_DRAGS = """drags AS (SELECT markup_id AS drag_id, project_id, scale, (markup_id % 13) * 0.625e0 AS x0, (markup_id % 11) * 0.5e0 AS y0, (markup_id % 17) * 0.875e0 AS x1, (markup_id % 7) * 1.125e0 AS y1 FROM markups JOIN projects USING (project_id))"""
 _STORED = "stored AS (SELECT c_custkey AS project_id, CAST(c_nationkey AS BIGINT) AS owner, c_name AS name, c_acctbal AS total_cost, c_custkey % 5 = 0 AS archived, (c_custkey * 7919) % 100003 AS updated_at FROM customer)"
 _ASSIGNED = "assigned AS (SELECT room_id, list_sort(list(DISTINCT material_id)) AS a FROM bridge GROUP BY 1)"
 
@@ -125,10 +125,30 @@ AND {LOW('points', 'x')} <= greatest(x0, x1) AND {HIGH('points', 'x')} >= least(
         "drawn_rooms": f"""{duck('markups', 'projects')}, {_DRAGS}, d AS (SELECT *, CASE WHEN scale IS NULL THEN x1 - x0 ELSE floor((x1 - x0) / 0.5e0 + 0.5e0) * 0.5e0 END AS w, CASE WHEN scale IS NULL THEN y1 - y0 ELSE floor((y1 - y0) / 0.5e0 + 0.5e0) * 0.5e0 END AS h FROM drags)
 SELECT drag_id, {R6('least(x0, x0 + w)')} AS x, {R6('least(y0, y0 + h)')} AS y, {R6('abs(w)')} AS w, {R6('abs(h)')} AS h FROM d WHERE abs(w) > 0.3e0 AND abs(h) > 0.3e0""",
         "moved_rooms": f"{duck('rooms')}, m AS (SELECT room_id, floor(({LOW('points', 'x')} + 0.4e0) / 0.25e0 + 0.5e0) * 0.25e0 AS x, floor(({LOW('points', 'y')} + 0.3e0) / 0.25e0 + 0.5e0) * 0.25e0 AS y FROM rooms) SELECT room_id, {R6('x')} AS minx, {R6('y')} AS miny, {R6('x + greatest(0.25e0, (room_id % 9) * 0.5e0)')} AS maxx, {R6('y + greatest(0.25e0, (room_id % 5) * 0.75e0)')} AS maxy FROM m",
-        "fit_view": f"""{duck('rooms')}, b AS (SELECT project_id, min({LOW('points', 'x')}) AS x0, min({LOW('points', 'y')}) AS y0, max({HIGH('points', 'x')}) AS x1, max({HIGH('points', 'y')}) AS y1 FROM rooms GROUP BY 1), z AS (SELECT *, greatest(0.05e0, least(8e0, 1040e0 / (x1 - x0), 640e0 / (y1 - y0))) AS z FROM b)
-SELECT project_id, {R6('z')} AS zoom, {R6('80e0 - x0 * z + (1040e0 - (x1 - x0) * z) / 2e0')} AS x, {R6('80e0 - y0 * z + (640e0 - (y1 - y0) * z) / 2e0')} AS y FROM z""",
-        "camera": f"""{duck('rooms')}, c AS (SELECT project_id, list_sum(list_transform(points, lambda v: v.x)) / len(points) AS x, list_sum(list_transform(points, lambda v: v.y)) / len(points) AS y FROM rooms), m AS (SELECT project_id, avg(x) AS cx, avg(y) AS cy FROM c GROUP BY 1)
-SELECT project_id, {R6('any_value(cx)')} AS cx, {R6('any_value(cy)')} AS cy, {R6('max(' + HYP('x - cx', 'y - cy') + ')')} AS radius FROM c JOIN m USING (project_id) GROUP BY 1""",
+        "fit_view": f"""{duck('rooms', 'projects')}, v AS (SELECT project_id, CASE WHEN scale IS NULL THEN p.x ELSE p.x / scale END AS x, CASE WHEN scale IS NULL THEN p.y ELSE p.y / scale END AS y FROM (SELECT project_id, unnest(points) AS p FROM rooms) JOIN projects USING (project_id)),
+b AS (SELECT project_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM v GROUP BY 1), z AS (SELECT *, greatest(0.05e0, least(8e0, 1040e0 / (x1 - x0), 640e0 / (y1 - y0))) AS z FROM projects LEFT JOIN b USING (project_id))
+SELECT project_id, CASE WHEN x0 IS NULL THEN 1e0 ELSE {R6('z')} END AS zoom, CASE WHEN x0 IS NULL THEN 80e0 ELSE {R6('80e0 - x0 * z + (1040e0 - (x1 - x0) * z) / 2e0')} END AS x, CASE WHEN x0 IS NULL THEN 80e0 ELSE {R6('80e0 - y0 * z + (640e0 - (y1 - y0) * z) / 2e0')} END AS y FROM z""",
+        "camera": f"""{duck('rooms')}, c AS (SELECT project_id, room_id, points, list_sum(list_transform(points, lambda v: v.x)) / len(points) AS x, list_sum(list_transform(points, lambda v: v.y)) / len(points) AS y FROM rooms),
+v AS (SELECT project_id, room_id, x, y, unnest(points) AS p FROM c), d AS (SELECT project_id, max({HYP('p.x - x', 'p.y - y')}) AS far FROM v GROUP BY 1), m AS (SELECT project_id, avg(x) AS cx, avg(y) AS cy FROM c GROUP BY 1),
+s AS (SELECT project_id, cx, cy, greatest(10e0, far) AS span, greatest(20e0, greatest(10e0, far) * 3e0 + 15e0) AS dist FROM m JOIN d USING (project_id))
+SELECT project_id, {R6('cx')} AS cx, {R6('cy')} AS cy, {R6('span')} AS span, {R6('cx + dist * 0.6e0')} AS eye_x, {R6('dist * 0.7e0')} AS eye_y, {R6('dist * 0.6e0 - cy')} AS eye_z FROM s""",
+        "plan_planes": f"""{duck('projects')}, o AS (SELECT o_orderkey, scale, CAST(o_orderkey % 4000 AS DOUBLE) AS w, 500e0 + o_orderkey % 700 AS h FROM orders JOIN projects ON o_custkey = project_id)
+SELECT o_orderkey, {R6('CASE WHEN scale > 0 AND w > 0 THEN w * scale ELSE 40e0 END')} AS w, {R6('CASE WHEN scale > 0 AND w > 0 THEN h * scale WHEN w > 0 THEN 40e0 * h / w END')} AS h FROM o""",
+        "hit_test": f"""{duck('rooms', 'markups', 'projects')}, f AS (SELECT project_id, min(room_id) AS selected FROM rooms GROUP BY 1),
+q AS (SELECT markup_id AS point_id, project_id, scale, selected, 80e0 + (markup_id % 53) * 1.125e0 AS sx, 40e0 + (markup_id % 47) * 1.375e0 AS sy FROM markups JOIN projects USING (project_id) LEFT JOIN f USING (project_id)),
+d AS (SELECT point_id, sx, sy, selected, room_id, room_ord, list_transform(points, lambda v: {{'x': CASE WHEN scale IS NULL THEN v.x ELSE v.x / 0.0625e0 END * 0.5e0 + 80e0, 'y': CASE WHEN scale IS NULL THEN v.y ELSE v.y / 0.0625e0 END * 0.5e0 + 40e0}}) AS path FROM q JOIN rooms USING (project_id)),
+n AS (SELECT *, CASE WHEN room_id = selected THEN list_filter(range(1, len(path) + 1), lambda i: (sx - path[i].x) * (sx - path[i].x) + (sy - path[i].y) * (sy - path[i].y) < 81e0)[1] - 1 END AS vertex FROM d),
+t AS (SELECT point_id, arg_max(room_id, room_ord) AS room_id, arg_max({{'v': vertex}}, room_ord).v AS vertex FROM n WHERE vertex IS NOT NULL OR {INSIDE('sx', 'sy', 'path')} = 1 GROUP BY 1)
+SELECT q.point_id, q.project_id, t.room_id, CAST(t.vertex AS INTEGER) AS vertex FROM q LEFT JOIN t USING (point_id)""",
+        "marquee_selection": f"""{duck('rooms', 'markups', 'projects')}, {_DRAGS} SELECT drag_id, drags.project_id, room_id FROM drags JOIN rooms USING (project_id) WHERE (drag_id % 3 = 0 AND room_id % 5 = 0) OR ({HYP('x1 - x0', 'y1 - y0')} >= 3e0
+AND {LOW('points', 'x')} <= greatest(x0, x1) AND {HIGH('points', 'x')} >= least(x0, x1) AND {LOW('points', 'y')} <= greatest(y0, y1) AND {HIGH('points', 'y')} >= least(y0, y1))""",
+        "toggled_selection": f"{duck('rooms', 'bridge')}, n AS (SELECT room_id, count(*) AS n FROM bridge GROUP BY 1) SELECT project_id, room_id FROM rooms LEFT JOIN n USING (room_id) WHERE (coalesce(n, 0) + CASE WHEN room_id % 2 = 0 THEN 1 ELSE 0 END) % 2 = 1",
+        "count_markups": f"{duck('requests')} SELECT identity AS project_id, ts_ms // {DAY_MS} AS markup_id, CAST(count(*) AS DOUBLE) AS value, count(*) * 2e0 AS cost, min(event_id) * 0.5e0 AS first_x, max(event_id) * 0.25e0 AS last_y FROM requests GROUP BY 1, 2",
+        "typed_dimensions": f"""{duck('rooms', 'projects')}, s AS (SELECT room_id, unit_system, (room_id % 29) * 0.25e0 + 6e0 AS side FROM rooms JOIN projects USING (project_id)) SELECT room_id, CASE WHEN room_id % 2 = 0 THEN {R6(f"CASE unit_system WHEN 'metric_m' THEN {RND('side * 0.3048e0', 3)} * 3.280839895e0 WHEN 'metric_cm' THEN {RND('side * 30.48e0', 1)} * 0.03280839895e0 WHEN 'metric_mm' THEN {RND('side * 304.8e0', 0)} * 0.003280839895e0 ELSE side END")} END AS feet FROM s""",
+        "owner_projects": "SELECT c_custkey AS project_id, c_name AS name, c_acctbal AS total_cost, c_acctbal / 4e0 AS floor_sf, (c_custkey * 7919) % 100003 AS updated_at FROM customer WHERE c_nationkey = 7 AND c_custkey % 5 <> 0",
+        "library_list": "SELECT p_partkey % 10 AS owner, p_partkey AS tile_id, p_name AS name, row_number() OVER (PARTITION BY p_partkey % 10 ORDER BY (p_partkey * 7919) % 100003 DESC, p_partkey) AS place FROM part",
+        "detection_commits": """WITH r AS (SELECT event_id, o, CASE WHEN event_id % 7 = 0 THEN 0e0 ELSE CAST(event_id % 100 AS DOUBLE) END AS x, CASE WHEN event_id % 3 = 2 THEN 8.5e0 ELSE 1e0 END AS w, CASE WHEN o = 0 THEN 1e0 ELSE 3e0 END AS h FROM events, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) AS s(o) WHERE (event_id + o) % 4 <> 0)
+SELECT event_id AS request_id, o AS ord, concat('R', event_id) AS name, x AS x0, 2.5e0 AS y0, x + w AS x2, 2.5e0 + h AS y2 FROM r""",
         "add_rooms": f"""{MAIN}, have AS (SELECT project_id, count(*) AS n FROM rooms GROUP BY 1), fl AS (SELECT b.project_id, min(material_id) AS floor FROM bridge b JOIN materials USING (material_id) WHERE type = 'floor' GROUP BY 1)
 SELECT project_id, seq, CASE WHEN seq = 2 THEN 'Porch' ELSE concat('Room ', coalesce(n, 0) + 1) END AS name, ([{', '.join(repr(c) for c in C.ROOM_COLORS)}])[(coalesce(n, 0) + seq - 1) % 8 + 1] AS color, floor, 120e0 AS area FROM projects CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (CAST(2 AS BIGINT))) AS s(seq) LEFT JOIN have USING (project_id) LEFT JOIN fl USING (project_id)""",
         "toggle_assignments": f"{duck('bridge')}, {_ASSIGNED} SELECT room_id, array_to_string(CASE WHEN room_id % 2 = 0 THEN a[2:] ELSE list_append(a, -1) END, ',') AS assigned FROM assigned",
@@ -148,10 +168,11 @@ UNION ALL SELECT -1 - project_id, concat(name, ' v2'), total_cost + 1e0, updated
 SELECT project_id, name, unit_system, scale, tax_rate, CAST(coalesce(r.n, 0) AS BIGINT) AS rooms, coalesce(sf, 0e0) AS sf, CAST(coalesce(b.n, 0) AS BIGINT) AS links, CAST(coalesce(k.n, 0) AS BIGINT) AS marks FROM projects LEFT JOIN r USING (project_id) LEFT JOIN b USING (project_id) LEFT JOIN k USING (project_id)""",
         "detection_cleaning": """WITH r AS (SELECT event_id, event_type, i, CASE i WHEN 0 THEN CAST(event_id % 1500 AS DOUBLE) ELSE (event_id % 30) * 0.5e0 END AS w FROM events, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) AS s(i))
 SELECT event_id AS request_id, i AS ord, CASE WHEN event_id % 4 = i THEN 'Room' ELSE event_type END AS name, CAST(event_id % 100 AS DOUBLE) AS x, CASE WHEN event_id % 7 = 0 THEN 0e0 ELSE 2.5e0 END AS y, w, 8.5e0 AS h, CASE event_id % 3 WHEN 0 THEN 1e0 WHEN 1 THEN 0.5e0 ELSE 0.25e0 END AS confidence FROM r WHERE w > 0 AND w <= 1000 AND event_id % 6 <> 0""",
-        "detection_requests": f"""SELECT event_id, CAST(CASE WHEN event_id % 13 = 0 THEN 405 WHEN event_id % 5 IN (2, 3) THEN 415 WHEN event_id * 1000 > 8000000 THEN 413 ELSE 200 END AS BIGINT) AS status, CASE WHEN event_id % 3 = 0 THEN concat('10.0.0.', event_id % 250) WHEN event_id % 2 = 0 THEN '127.0.0.1' ELSE 'unknown' END AS ip,
+        "detection_requests": f"""SELECT event_id, CAST(CASE WHEN event_id % 13 = 0 THEN 405 WHEN event_id % 19 = 0 THEN 401 WHEN event_id % 23 = 0 THEN 429 WHEN event_id % 17 = 0 OR event_id = 0 THEN 400 WHEN event_id * 1000 > 8000000 THEN 413 WHEN event_id % 5 = 2 THEN 400 ELSE 200 END AS BIGINT) AS status, CASE WHEN event_id % 3 = 0 THEN concat('10.0.0.', event_id % 250) WHEN event_id % 2 = 0 THEN '127.0.0.1' ELSE 'unknown' END AS ip,
 {R6('greatest(0.3e0, least(3e0, 2000e0 / (500e0 + event_id % 3000), sqrt(16777216e0 * 0.85e0 / ((500e0 + event_id % 3000) * (700e0 + event_id % 2000))), 4096e0 * 0.9e0 / greatest(500e0 + event_id % 3000, 700e0 + event_id % 2000)))')} AS raster FROM events""",
         "limiter_fixed": f"{duck('requests')} SELECT identity, ts_ms // {DAY_MS} AS bucket, CAST(count(*) AS BIGINT) AS hits, CAST(greatest(0, count(*) - {PER_DAY}) AS BIGINT) AS limited FROM requests GROUP BY 1, 2",
         "limiter_sliding": f"""{duck('requests')} SELECT a.event_id, a.identity, a.ts_ms, CAST(count(*) AS BIGINT) AS hits, count(*) > {PER_DAY} AS limited FROM requests a JOIN requests b ON a.identity = b.identity AND a.ts_ms - b.ts_ms < {DAY_MS} AND (b.ts_ms < a.ts_ms OR (b.ts_ms = a.ts_ms AND b.event_id <= a.event_id)) GROUP BY 1, 2, 3""",
         "debounced_saves": f"""{duck('requests')} SELECT identity, event_id, ts_ms FROM requests QUALIFY coalesce(lead(ts_ms) OVER (PARTITION BY identity ORDER BY ts_ms, event_id) - ts_ms >= 14400000, true)""",
     }
+    out["document_estimate"] = out["project_estimate"]
     return out

@@ -215,9 +215,18 @@ def room_under_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.topmost_room(load(spark, sf_dir, "rooms"), points)
 
 
+def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The room or vertex under each event's position on the screen; coordinates are eighths, so no border hangs on a last bit."""
+    m = load(spark, sf_dir, "markups").join(load(spark, sf_dir, "projects").selectExpr("project_id", "CASE WHEN scale IS NOT NULL THEN 0.0625D END AS scale"), "project_id")
+    rooms = load(spark, sf_dir, "rooms")
+    first = rooms.groupBy("project_id").agg(F.min("room_id").alias("selected"))
+    points = m.join(first, "project_id", "left").selectExpr("markup_id AS point_id", "project_id", "scale", "selected", "0.5D AS zoom", "80D AS shift_x", "40D AS shift_y", "80D + (markup_id % 53) * 1.125D AS sx", "40D + (markup_id % 47) * 1.375D AS sy")
+    return spatial.hit_test(rooms, points)
+
+
 def _drags(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = load(spark, sf_dir, "markups").join(load(spark, sf_dir, "projects").select("project_id", "scale"), "project_id")
-    return m.selectExpr("markup_id AS drag_id", "project_id", "scale", "(markup_id % 13) * 0.7D AS x0", "(markup_id % 11) * 0.6D AS y0", "(markup_id % 17) * 0.9D AS x1", "(markup_id % 7) * 1.1D AS y1")
+    return m.selectExpr("markup_id AS drag_id", "project_id", "scale", "(markup_id % 13) * 0.625D AS x0", "(markup_id % 11) * 0.5D AS y0", "(markup_id % 17) * 0.875D AS x1", "(markup_id % 7) * 1.125D AS y1", "markup_id % 3 = 0 AS add")
 
 
 def marquee(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,6 +234,18 @@ def marquee(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.marquee(load(spark, sf_dir, "rooms"), _drags(spark, sf_dir))
 
 
+def marquee_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is selected after each drag, with the rooms that were where it adds."""
+    rooms, drags = load(spark, sf_dir, "rooms"), _drags(spark, sf_dir)
+    return spatial.selection(spatial.marquee(rooms, drags), drags, rooms.where("room_id % 5 = 0"))
+
+
+def toggled_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms selected after a click on every line of an order."""
+    b, r = _tables(spark, sf_dir, "bridge", "rooms")
+    return spatial.toggled_selection(r.where("room_id % 2 = 0"), b)
+
+
 def drawn_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1, U10."""
     return spatial.drawn_rooms(_drags(spark, sf_dir)).select("drag_id", *(F.expr(_r6(c)).alias(c) for c in "xywh"))
@@ -238,12 +259,19 @@ def moved_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fit_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A15."""
-    return spatial.fit(load(spark, sf_dir, "rooms")).select("project_id", *(F.expr(_r6(c)).alias(c) for c in ("zoom", "x", "y")))
+    return spatial.fit(*_tables(spark, sf_dir, "rooms", "projects")).select("project_id", *(F.expr(_r6(c)).alias(c) for c in ("zoom", "x", "y")))
 
 
 def camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A16, G4."""
-    return spatial.camera(load(spark, sf_dir, "rooms")).select("project_id", *(F.expr(_r6(c)).alias(c) for c in ("cx", "cy", "radius")))
+    return spatial.camera(load(spark, sf_dir, "rooms")).select("project_id", *(F.expr(_r6(c)).alias(c) for c in ("cx", "cy", "span", "eye_x", "eye_y", "eye_z")))
+
+
+def plan_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's plan, of as many pixels as its price has dollars, in feet."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").join(load(spark, sf_dir, "projects").selectExpr("project_id AS o_custkey", "scale"), "o_custkey")
+    rows = o.selectExpr("o_orderkey", "scale", "CAST(o_orderkey % 4000 AS DOUBLE) AS w", "500D + o_orderkey % 700 AS h")
+    return rows.select("o_orderkey", F.expr(spatial.plan_plane("w", "h", "scale")).alias("p")).select("o_orderkey", F.expr(_r6("p.w")).alias("w"), F.expr(_r6("p.h")).alias("h"))
 
 
 def add_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +333,40 @@ def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("updated_at"), "project_id"))
-    return _stored(spark, sf_dir).where("NOT archived").select("owner", "project_id", "name", "total_cost", "updated_at", place.cast("long").alias("place"))
+    shown = store.listed(_stored(spark, sf_dir), "owner")
+    return shown.select("owner", "project_id", "name", "total_cost", "updated_at", place.cast("long").alias("place"))
+
+
+def owner_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one owner sees."""
+    return store.listed(store.owned(_stored(spark, sf_dir), 7)).select("project_id", "name", "total_cost", "floor_sf", "updated_at")
+
+
+def library_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each owner's library tiles, newest first, with their place in the list."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS tile_id", "p_partkey % 10 AS owner", "p_name AS name", "(p_partkey * 7919) % 100003 AS created_at")
+    return store.library_places(p).select("owner", "tile_id", "name", F.col("place").cast("long").alias("place"))
+
+
+def count_markups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a day as clicks of one count tool run."""
+    hits = load(spark, sf_dir, "requests").selectExpr("identity AS project_id", f"ts_ms DIV {DAY_MS} AS run_id", "event_id AS ord", "event_id * 0.5D AS x", "event_id * 0.25D AS y")
+    made = markups.accumulated(hits).withColumn("unit_cost", F.lit(2.0))
+    return markups.measured(made).select("project_id", "markup_id", "value", "cost", F.expr("element_at(points, 1).x").alias("first_x"), F.expr("element_at(points, -1).y").alias("last_y"))
+
+
+def typed_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sides formatted in their project's units and typed back; of odd rooms 0."""
+    r, p = _tables(spark, sf_dir, "rooms", "projects")
+    rows = r.join(p.select("project_id", "unit_system"), "project_id").select("room_id", "unit_system", F.expr("CASE WHEN room_id % 2 = 1 THEN 0D ELSE (room_id % 29) * 0.25D + 6D END").alias("side"))
+    return rows.select("room_id", F.expr(_r6(U.typed_dimension(U.format_length("side", "unit_system"), "unit_system"))).alias("feet"))
+
+
+def detection_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed rooms, two for each event, as the user left them."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = e.select("event_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("ord")).selectExpr("event_id AS request_id", "ord", "concat('R', event_id) AS name", "CASE WHEN event_id % 7 = 0 THEN 'left' ELSE CAST(event_id % 100 AS STRING) END AS x", "'2.5' AS y", "CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '-4' ELSE '8.5' END AS w", "CAST(ord * 3 AS STRING) AS h", "(event_id + ord) % 4 <> 0 AS keep")
+    return detection.committed(rows).select("request_id", F.col("ord").cast("long").alias("ord"), "name", *(F.expr(f"points[{i}].{a}").alias(f"{a}{i}") for i in (0, 2) for a in "xy"))
 
 
 def project_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,13 +393,16 @@ def room_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All projects to JSON documents and back; counts and sums of what comes back."""
     p, r, m, b, k = _tables(spark, sf_dir, "projects", "rooms", "materials", "bridge", "markups")
-    back = documents.from_documents(documents.to_documents(p, r, m, b, k))
-    rooms = back["rooms"].groupBy("project_id").agg(F.count("*").alias("rooms"), F.sum(F.expr(G.area("points"))).alias("sf"))
-    links = back["bridge"].groupBy("project_id").agg(F.count("*").alias("links"))
-    marks = back["markups"].groupBy("project_id").agg(F.count("*").alias("marks"))
-    out = back["projects"].join(rooms, "project_id", "left").join(links, "project_id", "left").join(marks, "project_id", "left")
-    zero = F.lit(0).cast("long")
-    return out.select("project_id", "name", "unit_system", "scale", "tax_rate", F.coalesce("rooms", zero).alias("rooms"), F.coalesce("sf", F.lit(0.0)).alias("sf"), F.coalesce("links", zero).alias("links"), F.coalesce("marks", zero).alias("marks"))
+    return documents.contents(documents.to_documents(p, r, m, b, k)).select("project_id", "name", "unit_system", "scale", "tax_rate", "rooms", "sf", "links", "marks")
+
+
+def document_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every project's totals from the tables that its document gives back."""
+    back = documents.from_documents(documents.to_documents(*_tables(spark, sf_dir, "projects", "rooms", "materials", "bridge", "markups")))
+    tiles = back["materials"].drop("project_id").dropDuplicates(["material_id"])  # one catalogue for all projects
+    areas = estimate.material_areas(back["rooms"], tiles, back["bridge"])
+    out = estimate.estimate_projects(back["projects"], back["rooms"], estimate.estimate_lines(areas, tiles))
+    return out.select("project_id", "name", *(F.expr(_m4(c)).alias(c) for c in ("materials", "floor_sf", "calibrated_sf", "labor", "subtotal", "tax", "total")))
 
 
 def report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,8 +432,8 @@ def detection_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detection_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts, addresses and raster scales of requests."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = e.selectExpr("event_id", "CASE WHEN event_id % 13 = 0 THEN 'GET' ELSE 'POST' END AS method", "CASE event_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'text/html' WHEN 3 THEN NULL ELSE 'image/webp' END AS media", "event_id * 1000 AS bytes", "CASE event_id % 3 WHEN 0 THEN concat(' 10.0.0.', event_id % 250, ' , 10.1.1.1') WHEN 1 THEN '' END AS forwarded", "CASE WHEN event_id % 2 = 0 THEN '127.0.0.1' END AS address", "500D + event_id % 3000 AS page_w", "700D + event_id % 2000 AS page_h")
-    return rows.select("event_id", F.expr(detection.verdict("method", "media", "bytes")).cast("long").alias("status"), F.expr(detection.client_ip("forwarded", "address")).alias("ip"), F.expr(_r6(detection.render_scale("page_w", "page_h"))).alias("raster"))
+    rows = e.selectExpr("event_id", "CASE WHEN event_id % 13 = 0 THEN 'GET' ELSE 'POST' END AS method", "CASE event_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'text/html' WHEN 3 THEN NULL ELSE 'image/webp' END AS media", "CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_id * 1000 END AS bytes", "event_id % 19 <> 0 AS signed_in", "event_id % 23 = 0 AS limited", "CASE event_id % 3 WHEN 0 THEN concat(' 10.0.0.', event_id % 250, ' , 10.1.1.1') WHEN 1 THEN '' END AS forwarded", "CASE WHEN event_id % 2 = 0 THEN '127.0.0.1' END AS address", "500D + event_id % 3000 AS page_w", "700D + event_id % 2000 AS page_h")
+    return rows.select("event_id", F.expr(detection.verdict("method", "media", "bytes", "signed_in", "limited")).cast("long").alias("status"), F.expr(detection.client_ip("forwarded", "address")).alias("ip"), F.expr(_r6(detection.render_scale("page_w", "page_h"))).alias("raster"))
 
 
 def limiter_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,7 +469,7 @@ def debounced_saves_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     project_estimate, material_areas, estimate_lines, estimate_lines_cuts, room_geometry, tile_in_room, view_transform, unit_formats, unit_numbers, unit_parse, scales, text_functions,
     layout_tally, wall_segments, cut_pieces, cut_analysis, cut_comparison, cut_steps, cut_list, cut_rooms, cut_plan, cut_sheet_html, markup_values, markup_summary, markup_labels, markup_commits,
-    room_under_pointer, marquee, drawn_rooms, moved_rooms, fit_view, camera, add_rooms, toggle_assignments, delete_materials, add_floor_material, change_pattern, merge_rooms, tile_library,
+    room_under_pointer, hit_test, marquee, marquee_selection, toggled_selection, plan_planes, count_markups, typed_dimensions, owner_projects, library_list, detection_commits, document_estimate, drawn_rooms, moved_rooms, fit_view, camera, add_rooms, toggle_assignments, delete_materials, add_floor_material, change_pattern, merge_rooms, tile_library,
     project_list, project_upsert, project_headline, room_materials, document_round_trip, report_csv, report_xlsx, detection_cleaning, detection_requests, limiter_fixed, limiter_sliding, debounced_saves,
     limiter_fixed_stream, limiter_sliding_stream, debounced_saves_stream,
 ]

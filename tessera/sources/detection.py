@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+
 MEDIA = ["image/png", "image/jpeg", "image/webp", "image/gif"]
 MAX_BASE64 = 8_000_000
 MAX_ROOMS = 200
@@ -15,10 +17,15 @@ def finite(x: str) -> str:
     return f"CASE WHEN abs(try_cast({x} AS DOUBLE)) < double('Infinity') THEN try_cast({x} AS DOUBLE) END"
 
 
-def verdict(method: str, media: str, size: str) -> str:
-    """SQL for the status of a request: 405, 415, 413 or 200."""
+def verdict(method: str, media: str, size: str, signed_in: str = "true", limited: str = "false") -> str:
+    """SQL for the status of a request, by the first check that fails.
+
+    405 for a method other than POST, 401 without a session, 429 over the rate limit, 400 without an image, 413 for one that
+    is too long, 400 for a media type that is not allowed (none given: PNG), else 200.
+    """
     allowed = ", ".join(f"'{m}'" for m in MEDIA)
-    return f"CASE WHEN {method} <> 'POST' THEN 405 WHEN {media} IS NULL OR {media} NOT IN ({allowed}) THEN 415 WHEN {size} > {MAX_BASE64} THEN 413 ELSE 200 END"
+    return f"""CASE WHEN {method} <> 'POST' THEN 405 WHEN NOT {signed_in} THEN 401 WHEN {limited} THEN 429 WHEN coalesce({size}, 0) = 0 THEN 400
+        WHEN {size} > {MAX_BASE64} THEN 413 WHEN coalesce({media}, 'image/png') NOT IN ({allowed}) THEN 400 ELSE 200 END"""
 
 
 def client_ip(forwarded: str, address: str) -> str:
@@ -39,6 +46,13 @@ def cleaned(responses: DataFrame) -> DataFrame:
     return kept.select("request_id", F.inline("r"))
 
 
+def committed(reviewed: DataFrame) -> DataFrame:
+    """The reviewed rooms (request_id, ord, name, x, y, w, h as text or numbers, keep) that are kept, as rectangles; a side that is no number above 0 is 1, a coordinate that is none is 0."""
+    side = lambda c: f"CASE WHEN {finite(c)} > 0 THEN {finite(c)} ELSE 1D END"
+    rows = reviewed.where("keep").select("request_id", "ord", "name", *(F.expr(f"coalesce({finite(c)}, 0D)").alias(c) for c in "xy"), *(F.expr(side(c)).alias(c) for c in "wh"))
+    return rows.select("request_id", "ord", "name", F.expr(G.rect("x", "y", "w", "h")).alias("points"))
+
+
 def render_scale(width: str, height: str, target: str = "2000D") -> str:
     """SQL for a page's raster scale: to the target width, within area and side caps, 0.3 to 3."""
     area, side = f"sqrt(try_divide(16777216D * 0.85D, {width} * {height}))", f"try_divide(4096D * 0.9D, greatest({width}, {height}))"

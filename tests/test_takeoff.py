@@ -159,3 +159,64 @@ def test_fold_invariants():
             broken, reused, scrap, left, steps = cuts.redistribute(needs, 1.0, 1.0, False, best)
             assert broken + reused == len(needs) == len(steps) and broken <= len(needs)
             assert math.isclose(sum(s["w"] * s["h"] for s in steps), sum(a * b for a, b, _ in needs))
+
+
+def test_layout_origin_angle_and_rotation(spark):
+    r, m, b = pairs(spark, [("a", rect(4, 3))], (12, 12))
+    at = lambda **more: layout.assigned(r.withColumns({k: F.lit(v) for k, v in more.items()}), m, b)
+    assert tuple(layout.tally(at(), "material_id").first())[1:] == (12, 0, 12)
+    moved = layout.tally(at(origin_x=0.5, origin_y=0.25), "material_id").first()
+    assert (moved["full"], moved["cut"]) == (3 * 2, 5 * 4 - 3 * 2)
+    turned = layout.generate(at(angle_deg=30.0), "room_id")
+    assert {round(x["rot"], 9) for x in turned.collect()} == {round(math.pi / 6, 9)}
+    for pattern, rot in (("diagonal", math.pi / 4), ("herringbone", 0), ("basketweave", 0)):
+        tiles = layout.generate(layout.assigned(r.withColumns({"pattern": F.lit(pattern), "angle_deg": F.lit(30.0)}), m, b), "room_id").collect()
+        assert tiles and {round(x["rot"], 9) for x in tiles} == {round(rot, 9)}
+
+
+def test_trimmed_columns_lose_no_tile(spark):
+    shapes = [rect(7.3, 5.1), [(2.0, 1.0), (9.0, 2.5), (4.0, 7.0)], [(-3.0, -2.0), (5.0, -2.0), (5.0, 1.0), (1.0, 1.0), (1.0, 6.0), (-3.0, 6.0)]]
+    for tile in ((12, 12), (6, 24), (3, 6)):
+        for pattern in ("grid", "brick_33", "herringbone", "basketweave"):
+            p = layout.assigned(*pairs(spark, [(str(i), s) for i, s in enumerate(shapes)], tile, pattern=pattern))
+            p = p.withColumns({"origin_x": F.lit(0.3), "origin_y": F.lit(-0.7)})
+            every = layout._tiles(layout._bands(p.withColumn("e", F.expr(G.edges("points"))), "room_id", "e"))
+            cls = every.select("room_id", "r", "c", "k", F.expr(G.classify("cx - w / 2", "cy - h / 2", "w", "h", "e")).alias("cls")).where("cls <> 'out'")
+            some = layout.classified(p, "room_id").select("room_id", "r", "c", "k", "cls")
+            assert sorted(map(tuple, cls.collect())) == sorted(map(tuple, some.collect())), (tile, pattern)
+        if tile == (3, 6):
+            break
+
+
+def test_cuts_follow_the_order_of_rooms(spark):
+    rooms = [("a", rect(11.5, 8)), ("b", rect(11.5, 5)), ("c", rect(3.2, 4))]
+    r, m, b = pairs(spark, rooms, (12, 12))
+    first = lambda order: [s["room"] for s in cuts.analyze(layout.assigned(r.withColumn("room_ord", F.expr(order)), m, b), ["practical"]).first()["steps"]]
+    assert first("CAST(room_id AS INT)") == sorted(first("CAST(room_id AS INT)")) and first("CAST(-room_id AS INT)") == sorted(first("CAST(-room_id AS INT)"), reverse=True)
+
+
+def test_rooms_without_an_assigned_array_are_in_if_lenient(spark):
+    r, m, b = pairs(spark, [("a", rect(4, 3)), ("b", rect(2, 2))], (12, 12))
+    r = r.withColumn("assigned", F.expr("CASE WHEN room_id = 0 THEN array(7L) END"))
+    only = b.where("room_id = 0")
+    assert layout.assigned(r, m, only).count() == 1 and layout.assigned(r, m, only, lenient=True).count() == 2
+
+
+def test_camera_and_fit(spark):
+    from tessera.operators import spatial
+
+    r, _, _ = pairs(spark, [("a", rect(10, 12)), ("b", rect(40, 30, 10, 0))], (12, 12))
+    c = spatial.camera(r).first()
+    assert (c["cx"], c["cy"], c["span"]) == (17.5, 10.5, 25.0) and c["eye_x"] == pytest.approx(17.5 + 90 * 0.6) and c["eye_z"] == pytest.approx(90 * 0.6 - 10.5)
+    assert spatial.camera(pairs(spark, [("a", rect(2, 2))], (12, 12))[0]).first()["span"] == 10
+    projects = spark.createDataFrame([(1, 0.05), (2, None)], "project_id bigint, scale double")
+    views = {v["project_id"]: v for v in spatial.fit(r, projects).collect()}
+    assert views[1]["zoom"] == pytest.approx(min(1040 / 1000, 640 / 600)) and (views[2]["zoom"], views[2]["x"], views[2]["y"]) == (1, 80, 80)
+
+
+def test_detection_statuses(spark):
+    from tessera.sources import detection
+
+    rows = [("GET", None, 0, True, False, 405), ("POST", None, 10, False, True, 401), ("POST", None, 10, True, True, 429), ("POST", None, None, True, False, 400), ("POST", "text/html", 9_000_000, True, False, 413), ("POST", "text/html", 10, True, False, 400), ("POST", None, 10, True, False, 200), ("POST", "image/gif", 8_000_000, True, False, 200)]
+    df = spark.createDataFrame(rows, "m string, t string, n bigint, s boolean, l boolean, want int")
+    assert df.where(F.expr(detection.verdict("m", "t", "n", "s", "l")) != F.col("want")).count() == 0
