@@ -180,7 +180,7 @@ def test_trimmed_columns_lose_no_tile(spark):
         for pattern in ("grid", "brick_33", "herringbone", "basketweave"):
             p = layout.assigned(*pairs(spark, [(str(i), s) for i, s in enumerate(shapes)], tile, pattern=pattern))
             p = p.withColumns({"origin_x": F.lit(0.3), "origin_y": F.lit(-0.7)})
-            every = layout._tiles(layout._bands(p.withColumn("e", F.expr(G.edges("points"))), "room_id", "e"))
+            every = layout.generate(p.withColumn("e", F.expr(G.edges("points"))), "room_id", "e")
             cls = every.select("room_id", "r", "c", "k", F.expr(G.classify("cx - w / 2", "cy - h / 2", "w", "h", "e")).alias("cls")).where("cls <> 'out'")
             some = layout.classified(p, "room_id").select("room_id", "r", "c", "k", "cls")
             assert sorted(map(tuple, cls.collect())) == sorted(map(tuple, some.collect())), (tile, pattern)
