@@ -69,7 +69,7 @@ def estimate_lines_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 with the cut engine where a material asks for it."""
     pairs = _pairs(spark, sf_dir)
     priced = pairs.where("cost_mode = 'cuts' AND type <> 'wall'")
-    lines = estimate.estimate_lines(_areas(spark, sf_dir), load(spark, sf_dir, "materials"), cuts.analyze(priced, None))
+    lines = estimate.estimate_lines(_areas(spark, sf_dir), load(spark, sf_dir, "materials"), cuts.analyze(priced, None, listed=False))
     return lines.select("project_id", "material_id", "mode", "tiles", F.expr(_r6("qty")).alias("qty"), "unit", F.expr(_r6("cost")).alias("cost"))
 
 
@@ -143,18 +143,18 @@ def wall_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cut_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and sizes of cut pieces of every room and material."""
-    rows = layout.pieces(_pairs(spark, sf_dir), "room_id", "material_id").where("cls = 'cut'")
+    rows = layout.pieces(_pairs(spark, sf_dir), "room_id", "material_id", summed=True).where("cls = 'cut'")
     return rows.groupBy("room_id", "material_id").agg(F.count("*").alias("pieces"), *(F.expr(_m4(f"sum({c})")).alias(c) for c in ("w", "h", "area")))
 
 
 def cut_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both modes for every project and material."""
-    return cuts.analyze(_pairs(spark, sf_dir)).drop("steps")
+    return cuts.analyze(_pairs(spark, sf_dir), listed=False).drop("steps")
 
 
 def cut_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C9, A13."""
-    return cuts.compare(cuts.analyze(_pairs(spark, sf_dir)))
+    return cuts.compare(cuts.analyze(_pairs(spark, sf_dir), listed=False))
 
 
 def _own_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
