@@ -1,6 +1,6 @@
 """DuckDB twins of the registered queries, written on their own from the definitions.
 
-Folds that consume a pool in order (cut_*) and binary workbooks have none; the tests hold them against a second model.
+The cut engine's are in cut_oracles. Workbooks, pages and report lines have none; the tests read them back.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ LOW = lambda p, a: f"list_min(list_transform({p}, lambda v: v.{a}))"  # noqa: E7
 HIGH = lambda p, a: f"list_max(list_transform({p}, lambda v: v.{a}))"
 INSIDE = lambda x, y, p: f"""(len(list_filter(range(1, len({p}) + 1), lambda i: ({p}[i].y > {y}) <> ({p}[(i + len({p}) - 2) % len({p}) + 1].y > {y})
     AND {x} < ({p}[(i + len({p}) - 2) % len({p}) + 1].x - {p}[i].x) * ({y} - {p}[i].y) / ({p}[(i + len({p}) - 2) % len({p}) + 1].y - {p}[i].y) + {p}[i].x)) % 2)"""
+#: The most edges that a fixture room has; a room's corners as columns, null beyond its own, and the last one: many tiles are tested against them.
+EDGES = 6
+FLAT = ", ".join([*(f"points[{i}].x AS x{i}, points[{i}].y AS y{i}" for i in range(1, EDGES + 1)), "points[len(points)].x AS x0, points[len(points)].y AS y0"])
+WITHIN = lambda x, y: "((" + " + ".join(f"CASE WHEN (y{i} > {y}) <> (y{i - 1} > {y}) AND {x} < (x{i - 1} - x{i}) * ({y} - y{i}) / (y{i - 1} - y{i}) + x{i} THEN 1 ELSE 0 END" for i in range(1, EDGES + 1)) + ") % 2)"
 LINES = f"""sized AS (SELECT *, {AREA('points')} AS sf, {PER('points')} * wall_height AS wall_sf FROM rooms),
 areas AS (SELECT b.project_id, b.material_id, sum(CASE WHEN type = 'wall' THEN wall_sf ELSE sf END) AS net_sf, CAST(count(*) AS BIGINT) AS n_rooms, string_agg(s.name, ', ' ORDER BY room_id) AS rooms
   FROM bridge b JOIN sized s USING (room_id) JOIN materials m USING (material_id) GROUP BY ALL),
@@ -67,14 +71,15 @@ wr AS (SELECT *, unnest(range(0, CAST(ceil((y1 - y0) / (tw * 2e0)) AS BIGINT) +
 wc AS (SELECT *, unnest(range(0, CAST(ceil((x1 - x0) / (tw * 2e0)) AS BIGINT) + 2)) AS c FROM wr),
 wp AS (SELECT *, x0 + c * (tw * 2e0) AS ax, y0 + r * (tw * 2e0) AS ay FROM wc),
 tiles AS (
-  SELECT room_id, material_id, points, bx0, bx1, by0, by1, (gx + c * tw + CASE WHEN r % 2 = 0 THEN 0e0 WHEN p = 'brick_50' THEN 0.5e0 * tw WHEN p = 'brick_33' THEN (1e0 / 3e0) * tw ELSE 0e0 END) + tw / 2e0 AS cx, (gy + r * th) + th / 2e0 AS cy, tw AS w, th AS h FROM gc
-  UNION ALL SELECT room_id, material_id, points, bx0, bx1, by0, by1, ax + lg / 2e0, ay + sh / 2e0, lg, sh FROM hp
-  UNION ALL SELECT room_id, material_id, points, bx0, bx1, by0, by1, ax + lg + sh / 2e0, ay + sh + lg / 2e0, sh, lg FROM hp
-  UNION ALL SELECT room_id, material_id, points, bx0, bx1, by0, by1, ax + tw / 2e0, ay + CASE k WHEN 0 THEN th / 4e0 ELSE (th * 3e0) / 4e0 END, tw, th / 2e0 FROM wp, (VALUES (0), (1)) AS k(k) WHERE (r + c) % 2 = 0
-  UNION ALL SELECT room_id, material_id, points, bx0, bx1, by0, by1, ax + CASE k WHEN 0 THEN tw / 4e0 ELSE (tw * 3e0) / 4e0 END, ay + th / 2e0, tw / 2e0, th FROM wp, (VALUES (0), (1)) AS k(k) WHERE (r + c) % 2 = 1),
-near AS (SELECT room_id, material_id, points, cx - w / 2e0 AS x, cy - h / 2e0 AS y, w, h, least(w, h) * 0.02e0 AS e FROM tiles WHERE cx - w / 2e0 <= bx1 AND cx - w / 2e0 + w >= bx0 AND cy - h / 2e0 <= by1 AND cy - h / 2e0 + h >= by0),
-counted AS (SELECT *, {INSIDE('x + e', 'y + e', 'points')} + {INSIDE('x + w - e', 'y + e', 'points')} + {INSIDE('x + w - e', 'y + h - e', 'points')} + {INSIDE('x + e', 'y + h - e', 'points')} AS n FROM near),
-classed AS (SELECT *, CASE WHEN n = 4 THEN 'full' WHEN n > 0 OR {INSIDE('x + w / 2e0', 'y + h / 2e0', 'points')} = 1 THEN 'cut' ELSE 'out' END AS cls FROM counted)"""
+  SELECT room_id, material_id, r, c, 0 AS k, points, bx0, bx1, by0, by1, (gx + c * tw + CASE WHEN r % 2 = 0 THEN 0e0 WHEN p = 'brick_50' THEN 0.5e0 * tw WHEN p = 'brick_33' THEN (1e0 / 3e0) * tw ELSE 0e0 END) + tw / 2e0 AS cx, (gy + r * th) + th / 2e0 AS cy, tw AS w, th AS h FROM gc
+  UNION ALL SELECT room_id, material_id, r, c, 0, points, bx0, bx1, by0, by1, ax + lg / 2e0, ay + sh / 2e0, lg, sh FROM hp
+  UNION ALL SELECT room_id, material_id, r, c, 1, points, bx0, bx1, by0, by1, ax + lg + sh / 2e0, ay + sh + lg / 2e0, sh, lg FROM hp
+  UNION ALL SELECT room_id, material_id, r, c, k, points, bx0, bx1, by0, by1, ax + tw / 2e0, ay + CASE k WHEN 0 THEN th / 4e0 ELSE (th * 3e0) / 4e0 END, tw, th / 2e0 FROM wp, (VALUES (0), (1)) AS k(k) WHERE (r + c) % 2 = 0
+  UNION ALL SELECT room_id, material_id, r, c, k, points, bx0, bx1, by0, by1, ax + CASE k WHEN 0 THEN tw / 4e0 ELSE (tw * 3e0) / 4e0 END, ay + th / 2e0, tw / 2e0, th FROM wp, (VALUES (0), (1)) AS k(k) WHERE (r + c) % 2 = 1),
+near AS (SELECT room_id, material_id, r, c, k, points, cx - w / 2e0 AS x, cy - h / 2e0 AS y, w, h, least(w, h) * 0.02e0 AS e FROM tiles WHERE cx - w / 2e0 <= bx1 AND cx - w / 2e0 + w >= bx0 AND cy - h / 2e0 <= by1 AND cy - h / 2e0 + h >= by0),
+flat AS (SELECT room_id, {FLAT} FROM rooms),
+counted AS (SELECT near.*, {WITHIN('x + e', 'y + e')} + {WITHIN('x + w - e', 'y + e')} + {WITHIN('x + w - e', 'y + h - e')} + {WITHIN('x + e', 'y + h - e')} AS n, {WITHIN('x + w / 2e0', 'y + h / 2e0')} AS mid FROM near JOIN flat USING (room_id)),
+classed AS (SELECT *, CASE WHEN n = 4 THEN 'full' WHEN n > 0 OR mid = 1 THEN 'cut' ELSE 'out' END AS cls FROM counted)"""
 
 _M = "(SELECT *, abs(points[2].x - points[1].x) AS dx, abs(points[2].y - points[1].y) AS dy FROM markups)"
 _VALUE = f"""CASE type WHEN 'length' THEN {SUM(f"list_transform(range(2, len(points) + 1), lambda i: {HYP('points[i].x - points[i - 1].x', 'points[i].y - points[i - 1].y')})")}
@@ -175,4 +180,18 @@ SELECT event_id AS request_id, i AS ord, CASE WHEN event_id % 4 = i THEN 'Room'
         "debounced_saves": f"""{duck('requests')} SELECT identity, event_id, ts_ms FROM requests QUALIFY coalesce(lead(ts_ms) OVER (PARTITION BY identity ORDER BY ts_ms, event_id) - ts_ms >= 14400000, true)""",
     }
     out["document_estimate"] = out["project_estimate"]
-    return out
+    # a stream gives what its batch gives once the watermark, so far behind the latest request, has passed it
+    out["limiter_sliding_stream"] = out["limiter_sliding"]
+    out["limiter_fixed_stream"] = f"{out['limiter_fixed']} HAVING (bucket + 1) * {DAY_MS} <= (SELECT max(ts_ms) FROM requests) - 300000"
+    out["debounced_saves_stream"] = f"""{duck('requests')}, gaps AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 4 HOUR, true) AS opens FROM requests WINDOW w AS (PARTITION BY identity ORDER BY ts, event_id)),
+runs AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY identity ORDER BY ts, event_id) AS run FROM gaps)
+SELECT identity, arg_max(event_id, (ts, event_id)) AS event_id, CAST(count(*) AS BIGINT) AS changes FROM runs GROUP BY identity, run HAVING max(ts) + INTERVAL 4 HOUR <= (SELECT max(ts) FROM requests) - INTERVAL 1 MINUTE"""
+    dx, dy = "abs(b.x - a.kept[-1].x)", "abs(b.y - a.kept[-1].y)"
+    near = f"CASE WHEN {dx} = 0 THEN {dy} WHEN {dy} = 0 THEN {dx} ELSE {HYP(dx, dy)} END"
+    point = "{'x': v.x, 'y': v.y, 'kept': [{'x': v.x, 'y': v.y}]}"
+    out["markup_commits"] = f"""{duck('markups')}, d AS (SELECT markup_id, type, list_transform(points, lambda p: {{'x': p.x / 50e0, 'y': p.y / 50e0}}) AS p FROM markups WHERE type <> 'text'),
+c AS (SELECT *, CASE WHEN type IN ('length', 'area') THEN len(list_reduce(list_transform(p, lambda v: {point}), lambda a, b: {{'x': b.x, 'y': b.y, 'kept': CASE WHEN {near} > 0.02e0 THEN list_append(a.kept, {{'x': b.x, 'y': b.y}}) ELSE a.kept END}}).kept) ELSE len(p) END AS n, abs(p[2].x - p[1].x) AS dx, abs(p[2].y - p[1].y) AS dy FROM d)
+SELECT markup_id, type, CAST(n AS BIGINT) AS n_points FROM c WHERE CASE type WHEN 'rect' THEN dx > 0.2e0 AND dy > 0.2e0 WHEN 'ellipse' THEN dx > 0.2e0 AND dy > 0.2e0 WHEN 'arrow' THEN {HYP('dx', 'dy')} > 0.1e0 WHEN 'area' THEN n >= 3 WHEN 'length' THEN n >= 2 ELSE true END"""
+    from .cut_oracles import cut_oracles  # it builds on this module
+
+    return out | cut_oracles()

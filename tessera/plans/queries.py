@@ -161,9 +161,15 @@ def _own_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.analyze(_pairs(spark, sf_dir), None)
 
 
+def _offcuts(array: str) -> list:
+    """The offcuts of a step as columns; a step makes two at most."""
+    return [F.expr(f"get({array}, {i}).{f}").alias(f"offcut{i + 1}_{f}") for i in (0, 1) for f in ("id", "w", "h")]
+
+
 def cut_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every assignment of a cut, with the offcuts it makes."""
-    return _own_analysis(spark, sf_dir).select("project_id", "material_id", F.posexplode("steps").alias("n", "s")).select("project_id", "material_id", "n", "s.*")
+    steps = _own_analysis(spark, sf_dir).select("project_id", "material_id", F.posexplode("steps").alias("n", "s")).select("project_id", "material_id", "n", "s.*")
+    return steps.select("*", *_offcuts("produces")).drop("produces")
 
 
 def cut_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +184,7 @@ def cut_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cut_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A6, P7."""
-    return cutsheet.cut_plan(_own_analysis(spark, sf_dir))
+    return cutsheet.cut_plan(_own_analysis(spark, sf_dir)).select("*", *_offcuts("offcuts")).drop("offcuts")
 
 
 def cut_sheet_html(spark: SparkSession, sf_dir: str) -> DataFrame:
