@@ -45,7 +45,7 @@ BITS = 19
 BUCKETS = 1 << BITS
 #: Labelled documents of each label that teach (those with the smallest hash of their id).
 MAX_TRAIN_ROWS = 6000
-LANDMARKS, WITNESSES, ROUNDS, EPOCHS, COST = 512, 6, 3, 15, 20.0
+LANDMARKS, WITNESSES, ROUNDS, EPOCHS, COST = 512, 6, 3, 15, 1.0
 #: Windows of clean texts at even distances in each, and those that a round adds: the hardest.
 EVEN, HARDEST = 2, 4000
 THRESHOLD = 0.5
