@@ -131,8 +131,8 @@ def _cut(text: bytes, size: int) -> Iterator[tuple[int, bytes]]:
     yield at, text[at:]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list, list[str], list[int]]]:
-    """(block, ids, languages, offsets) for blocks of BLOCK_BYTES or some more; texts in a block stand by id (null last), so a first occurrence has the smallest."""
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[Block, list, list[str], list[int]]]:
+    """(block, ids, languages, offsets) for blocks of `size` bytes or some more; texts in a block stand by id (null last), so a first occurrence has the smallest."""
     seed = {}
     for batch in batches:
         ids, langs, texts = (batch.column(c).to_pylist() for c in ("doc_id", "lang", "text"))
@@ -146,10 +146,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list, li
             return Block([t for *_, t in some], [seed[x[1]] for x in some]), [x[0] for x in some], [x[1] for x in some], [x[2] for x in some]
 
         for i in order:
-            for at, part in _cut(texts[i] or b"", BLOCK_BYTES):
+            for at, part in _cut(texts[i] or b"", size):
                 some.append((ids[i], langs[i], at, part))
                 held += len(part)
-                if held >= BLOCK_BYTES:
+                if held >= size:
                     yield made()
                     some.clear()
                     held = 0
@@ -166,10 +166,10 @@ def _inside(found: tuple[int, np.ndarray] | None, grams: np.ndarray) -> np.ndarr
 
 def _counts(docs: DataFrame, sizes: tuple[int, ...], known: dict, least: int) -> DataFrame:
     """fp, c, n of the n-grams of these sizes that occur `least` times or more, known: the bitmap of one smaller size."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+    sent, size = docs.sparkSession.sparkContext.broadcast(known), BLOCK_BYTES
 
     def run(batches):
-        for block, *_ in _blocks(batches):
+        for block, *_ in _blocks(batches, size):
             for n in sizes:
                 grams, take = block.grams(n), block.together(n)
                 for m, found in sent.value.items():
@@ -210,14 +210,14 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WO
         if sizes:
             below = _bitmaps(materialized(_counts(rows, sizes, below, least), "fingerprints"), sizes)
             known |= below
-    sent = spark.sparkContext.broadcast(known)
+    sent, size = spark.sparkContext.broadcast(known), BLOCK_BYTES
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         def out(langs, phrases, sizes, counts, docs_, at):
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), phrases, pa.array(sizes, pa.int32()), pa.array(counts, pa.int64()), pa.array(docs_), pa.array(at, pa.int64())], names=["lang", "phrase", "size", "a", "doc", "byte"])
 
-        for block, ids, langs, base in _blocks(batches):
+        for block, ids, langs, base in _blocks(batches, size):
             here = np.bincount(block.text, minlength=len(ids))
             tongue = np.unique(langs, return_inverse=True)[1]
             per = {}

@@ -64,7 +64,7 @@ def postings(docs: DataFrame, wanted: dict[bytes, int], doc_id: str = "doc_id",
     return rows.mapInArrow(run, f"doc_id {kind}, n bigint, terms array<int>, tfs array<int>").where("n > 0")
 
 
-def _strata(batch: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _strata(batch: pa.Table, most: int = STRATUM_ROWS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(m, rows, row of each posting, terms, tfs), postings by term and then by falling tf; a stratum of very many rows comes in parts."""
     m = batch["m"].to_numpy()
     lists = batch["terms"].combine_chunks()
@@ -73,8 +73,8 @@ def _strata(batch: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
     order = np.argsort(m, kind="stable")
     edges = np.flatnonzero(np.diff(m[order])) + 1
     for part in np.split(order, edges):
-        for at in range(0, len(part), STRATUM_ROWS):
-            rows = part[at : at + STRATUM_ROWS]
+        for at in range(0, len(part), most):
+            rows = part[at : at + most]
             size = ends[rows + 1] - ends[rows]
             pick = np.arange(size.sum()) + np.repeat(ends[rows] - np.cumsum(size) + size, size)
             row = np.repeat(np.arange(len(rows)), size)
@@ -157,7 +157,7 @@ def _search(docs: DataFrame, asked: list, top: int, doc_id: str, text: str, kind
     for q, (_, some) in enumerate(asked):
         for w in some:
             weight[q, wanted[w]] = worth[wanted[w]]
-    sent = spark.sparkContext.broadcast(weight)
+    sent, most = spark.sparkContext.broadcast(weight), STRATUM_ROWS
     id_kind = index.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,12 +165,12 @@ def _search(docs: DataFrame, asked: list, top: int, doc_id: str, text: str, kind
 
         def visited():
             whole = pa.Table.from_batches(held)
-            engine.visit(list(_strata(whole)), whole["doc_id"])
+            engine.visit(list(_strata(whole, most)), whole["doc_id"])
 
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 16 * STRATUM_ROWS:
+            if rows >= 16 * most:
                 visited()
                 held, rows = [], 0
         if held:
