@@ -1,6 +1,7 @@
 """Picking, snapping and fitting.
 
-Rooms meet pointers of their own project, so each of these is an equi-join with a spatial test behind it.
+Rooms meet pointers and drags of their own project in the cells of a grid (touching()), so each of these is an
+equi-join on project and cell with a spatial test behind it, however many rooms a project has.
 """
 
 from __future__ import annotations
@@ -17,10 +18,47 @@ def _ordered(rooms: DataFrame) -> DataFrame:
     return F.struct("room_ord", "room_id") if "room_ord" in rooms.columns else F.struct("room_id")
 
 
+#: A box's level is the even power of two that its longer side reaches, its cells that wide, so it meets few of them.
+_LEVEL = "CAST(coalesce(2 * ceil(log2(greatest(maxx - minx, maxy - miny)) / 2), -40) AS INT)"
+
+
+def touching(left: DataFrame, right: DataFrame) -> DataFrame:
+    """All columns of both for the boxes (project_id, minx, miny, maxx, maxy) of a project that share a point, borders included.
+
+    Boxes go into grid cells as wide as the larger box of a pair: a box is put into cells of its own level, and of those
+    higher levels that the other side has in its project (half a hundred at most). A pair of levels meets in one way only, and a pair
+    of boxes counts in the cell of the least corner of what they share, so none comes twice. Null coordinates touch nothing; infinite ones neither.
+    What is left to one key is a cell with many boxes of both sides. `right` columns that `left` has too, but for project_id, must not exist.
+    """
+    box = ("minx", "miny", "maxx", "maxy")
+    real = " AND ".join(f"abs({c}) < double('Infinity')" for c in box)
+    a, b = (d.where(real).withColumn("__level", F.expr(_LEVEL)) for d in (left, right.withColumnsRenamed({c: f"__{c}" for c in box}).withColumns({c: F.col(f"__{c}") for c in box})))
+    levels = lambda d: d.groupBy("project_id").agg(F.collect_set("__level").alias("__others"))
+
+    def celled(d: DataFrame, others: DataFrame, ways: str) -> DataFrame:
+        each = d.join(others, "project_id").select(*d.columns, F.inline(F.expr(ways)))
+        span = lambda c: F.explode(F.expr(f"sequence(CAST(floor(min{c} / pow(2D, __at)) AS BIGINT), CAST(floor(max{c} / pow(2D, __at)) AS BIGINT))")).alias(f"__c{c}")
+        return each.select("*", span("x")).select("*", span("y"))
+
+    way = lambda at, kind: f"named_struct('__at', {at}, '__way', {kind})"
+    # way 0: the left box is the larger one or as large; way 1: the right one is larger
+    a = celled(a, levels(b), f"concat(IF(exists(__others, l -> l <= __level), array({way('__level', 0)}), array()), transform(filter(__others, l -> l > __level), l -> {way('l', 1)}))")
+    b = celled(b, levels(left.where(real).withColumn("__level", F.expr(_LEVEL))), f"concat(transform(filter(__others, l -> l >= __level), l -> {way('l', 0)}), IF(exists(__others, l -> l < __level), array({way('__level', 1)}), array()))")
+    met = a.join(b.drop(*box, "__level"), ["project_id", "__at", "__way", "__cx", "__cy"])
+    share = "minx <= __maxx AND maxx >= __minx AND miny <= __maxy AND maxy >= __miny"
+    first = " AND ".join(f"floor(greatest(min{c}, __min{c}) / pow(2D, __at)) = __c{c}" for c in "xy")
+    return met.where(f"{share} AND {first}").select(*left.columns, *(c for c in right.columns if c != "project_id" and c not in box))
+
+
+def _boxed(rooms: DataFrame, *more) -> DataFrame:
+    """project_id, room_id, `more` and the bounds of each room with corners."""
+    return rooms.where("size(points) > 0").select("project_id", "room_id", *more, F.expr(G.bounds("points")).alias("__b")).select("*", "__b.minx", "__b.miny", "__b.maxx", "__b.maxy").drop("__b")
+
+
 def topmost_room(rooms: DataFrame, points: DataFrame) -> DataFrame:
     """Points (point_id, project_id, x, y) with the last room of their project that contains them, or null."""
-    placed = rooms.select("project_id", "room_id", "points", _ordered(rooms).alias("place"))
-    inside = points.join(placed, "project_id").where(F.expr(G.contains("x", "y", "points")))
+    dots = points.select("point_id", "project_id", "x", "y", *(F.col(c).alias(f"{m}{c}") for m in ("min", "max") for c in "xy"))
+    inside = touching(dots, _boxed(rooms, "points", _ordered(rooms).alias("place"))).where(F.expr(G.contains("x", "y", "points")))
     top = inside.groupBy("point_id").agg(F.max_by("room_id", "place").alias("room_id"))
     return points.join(top, "point_id", "left").select("point_id", "project_id", "x", "y", "room_id")
 
@@ -35,9 +73,13 @@ def hit_test(rooms: DataFrame, pointers: DataFrame, reach: float = 9.0) -> DataF
     """V4: for pointers (point_id, project_id, sx, sy, scale, zoom, shift_x, shift_y, selected) the topmost room under them, or null.
 
     A room is under a pointer if its polygon on the screen contains it, or if it is the selected room and a vertex is nearer
-    than `reach` pixels; `vertex` is the first such vertex (from 0), else null.
+    than `reach` pixels; `vertex` is the first such vertex (from 0), else null. Candidates are the rooms whose bounds in feet
+    lie within `reach` of the pointer, taken back to feet. At zoom 0 nothing is hit.
     """
-    joined = pointers.join(rooms.select("project_id", "room_id", "points", _ordered(rooms).alias("place")), "project_id")
+    feet = lambda s, shift: G.to_ft(G.to_model(s, "zoom", shift), "scale")
+    near_by = pointers.withColumns({"__x": F.expr(feet("sx", "shift_x")), "__y": F.expr(feet("sy", "shift_y")), "__r": F.abs(F.expr(feet(f"{reach + 1}D", "0D")))})
+    around = near_by.select(*pointers.columns, *(F.expr(f"__{c} {sign} __r").alias(f"{m}{c}") for m, sign in (("min", "-"), ("max", "+")) for c in "xy"))
+    joined = touching(around, _boxed(rooms, "points", _ordered(rooms).alias("place")))
     drawn = joined.withColumn("path", F.expr(on_screen("points", "scale", "zoom", "shift_x", "shift_y")))
     near = f"CASE WHEN room_id = selected THEN get(filter(sequence(0, size(path) - 1), i -> hypot(sx - path[i].x, sy - path[i].y) < {reach}), 0) END"
     hits = drawn.withColumn("vertex", F.expr(near)).where(F.col("vertex").isNotNull() | F.expr(G.contains("sx", "sy", "path")))
@@ -50,9 +92,9 @@ def marquee(rooms: DataFrame, drags: DataFrame, least: float = 3.0) -> DataFrame
 
     Drags and rooms are in one system of coordinates: pass rooms through on_screen() for drags in pixels.
     """
-    boxed = rooms.select("project_id", "room_id", F.expr(G.bounds("points")).alias("b"))
     real = drags.where(F.expr(f"hypot(x1 - x0, y1 - y0) >= {least}"))
-    return real.join(boxed, "project_id").where("b.minx <= greatest(x0, x1) AND b.maxx >= least(x0, x1) AND b.miny <= greatest(y0, y1) AND b.maxy >= least(y0, y1)").select("drag_id", "project_id", "room_id")
+    box = real.select("drag_id", "project_id", *(F.expr(f"{f}({c}0, {c}1)").alias(f"{m}{c}") for m, f in (("min", "least"), ("max", "greatest")) for c in "xy"))
+    return touching(box, _boxed(rooms)).select("drag_id", "project_id", "room_id")
 
 
 def selection(hits: DataFrame, drags: DataFrame, selected: DataFrame) -> DataFrame:
