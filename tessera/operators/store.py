@@ -13,6 +13,7 @@ from ..functions import catalog as C
 from ..functions import geometry as G
 from ..functions import units as U
 from ..schema import DEFAULTS
+from .keys import having, scoped
 
 
 def with_defaults(projects: DataFrame) -> DataFrame:
@@ -22,9 +23,9 @@ def with_defaults(projects: DataFrame) -> DataFrame:
 
 
 def add_rooms(rooms: DataFrame, new: DataFrame, floors: DataFrame) -> DataFrame:
-    """`new` rooms (project_id, seq, points, name) numbered behind a project's rooms, coloured in turn, with the first floor material (project_id, material_id) assigned."""
+    """`new` rooms (project_id, seq, points, name) numbered behind a project's rooms, coloured in turn, with the first floor material (project_id, material_id; by material_ord if there is one, else by id) assigned."""
     have = rooms.groupBy("project_id").agg(F.count("*").alias("have"))
-    first = floors.groupBy("project_id").agg(F.min("material_id").alias("floor"))
+    first = floors.groupBy("project_id").agg(F.min_by("material_id", F.struct(*having(floors, "material_ord"), "material_id")).alias("floor"))
     n = F.coalesce("have", F.lit(0)) + F.row_number().over(Window.partitionBy("project_id").orderBy("seq")) - 1
     colors = F.array(*map(F.lit, C.ROOM_COLORS))
     rows = new.join(have, "project_id", "left").join(first, "project_id", "left").withColumn("__n", n)
@@ -52,19 +53,20 @@ def without(base: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 def delete_materials(bridge: DataFrame, gone: DataFrame) -> DataFrame:
     """Assignments after materials have gone."""
-    return without(bridge, gone, ["material_id"])
+    return without(bridge, gone, scoped(bridge, gone, "material_id"))
 
 
 def assign_new_floor(rooms: DataFrame, bridge: DataFrame, materials: DataFrame, new_id: int) -> DataFrame:
     """Assignments with a new floor material added in every room that has no floor material."""
-    floors = bridge.join(materials.where("type = 'floor'").select("material_id"), "material_id", "left_semi")
-    bare = rooms.join(floors.select("room_id"), "room_id", "left_anti")
+    floors = bridge.join(materials.where("type = 'floor'"), scoped(bridge, materials, "material_id"), "left_semi")
+    bare = rooms.join(floors, scoped(rooms, floors, "room_id"), "left_anti")
     return bridge.select("project_id", "room_id", "material_id").unionByName(bare.select("project_id", "room_id", F.lit(new_id).cast("long").alias("material_id")))
 
 
 def change_pattern(materials: DataFrame, patches: DataFrame) -> DataFrame:
     """The new pattern, and its suggested waste where the old waste was the old pattern's suggestion."""
-    p = materials.join(patches.select("material_id", F.col("pattern").alias("__p")), "material_id", "left")
+    keys = scoped(materials, patches, "material_id")
+    p = materials.join(patches.select(*keys, F.col("pattern").alias("__p")), keys, "left")
     follows = F.col("__p").isNotNull() & F.expr(C.waste_for("__p")).isNotNull() & (F.col("waste") == F.coalesce(F.expr(C.waste_for("pattern")), F.col("waste")))
     p = p.withColumns({"waste": F.when(follows, F.expr(C.waste_for("__p"))).otherwise(F.col("waste")), "pattern": F.coalesce("__p", "pattern")})
     return p.select(*materials.columns)
@@ -125,10 +127,12 @@ def headline(projects: DataFrame, rooms: DataFrame, estimates: DataFrame) -> Dat
 
 def room_materials(rooms: DataFrame, materials: DataFrame) -> DataFrame:
     """For rooms with an `assigned` array, the names of the materials that exist, in that order, and the first floor material."""
-    each = rooms.select("room_id", F.posexplode_outer("assigned").alias("pos", "material_id")).join(materials.select("material_id", F.col("name").alias("m"), "type"), "material_id", "left")
+    room = [*having(rooms, "project_id"), "room_id"]
+    each = rooms.select(*room, F.posexplode_outer("assigned").alias("pos", "material_id"))
+    each = each.join(materials.select(*having(materials, "project_id"), "material_id", F.col("name").alias("m"), "type"), scoped(rooms, materials, "material_id"), "left")
     named = F.when(F.col("m").isNotNull(), F.struct("pos", "m"))
-    grouped = each.groupBy("room_id").agg(F.sort_array(F.collect_list(named)).alias("n"), F.min_by(F.when(F.col("type") == "floor", F.col("material_id")), F.when(F.col("type") == "floor", F.col("pos"))).alias("first_floor"))
-    return grouped.select("room_id", F.concat_ws(" | ", F.transform("n", lambda x: x["m"])).alias("materials"), "first_floor")
+    grouped = each.groupBy(*room).agg(F.sort_array(F.collect_list(named)).alias("n"), F.min_by(F.when(F.col("type") == "floor", F.col("material_id")), F.when(F.col("type") == "floor", F.col("pos"))).alias("first_floor"))
+    return grouped.select(*room, F.concat_ws(" | ", F.transform("n", lambda x: x["m"])).alias("materials"), "first_floor")
 
 
 def texture_repeat(tw: str) -> str:

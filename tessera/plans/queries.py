@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
@@ -44,8 +44,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _assigned_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rooms, bridge = _tables(spark, sf_dir, "rooms", "bridge")
-    ids = bridge.groupBy("room_id").agg(F.sort_array(F.collect_set("material_id")).alias("assigned"))
-    return rooms.join(ids, "room_id", "left")
+    ids = bridge.groupBy("project_id", "room_id").agg(F.sort_array(F.collect_set("material_id")).alias("assigned"))
+    return rooms.join(ids, ["project_id", "room_id"], "left")
 
 
 def project_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,8 +336,6 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each owner's projects, latest first, with their place in the list."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("updated_at"), "project_id"))
     shown = store.listed(_stored(spark, sf_dir), "owner")
     return shown.select("owner", "project_id", "name", "total_cost", "updated_at", place.cast("long").alias("place"))
@@ -393,7 +391,7 @@ def project_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def room_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2, J3."""
-    return store.room_materials(_assigned_rooms(spark, sf_dir), load(spark, sf_dir, "materials"))
+    return store.room_materials(_assigned_rooms(spark, sf_dir), load(spark, sf_dir, "materials")).drop("project_id")
 
 
 def document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,12 +400,23 @@ def document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.contents(documents.to_documents(p, r, m, b, k)).select("project_id", "name", "unit_system", "scale", "tax_rate", "rooms", "sf", "links", "marks")
 
 
+def _renumbered(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The tables of projects, with rooms numbered from 1 and the materials in use, from the last id to the first, from 1 in every project."""
+    p, r, m, b, k = _tables(spark, sf_dir, "projects", "rooms", "materials", "bridge", "markups")
+    number = lambda key, order: F.row_number().over(Window.partitionBy("project_id").orderBy(order)).cast("long").alias(key)
+    room = r.select("project_id", "room_id", number("__r", "room_id"))
+    used = b.select("project_id", "material_id").distinct().select("project_id", "material_id", number("__m", F.desc("material_id")))
+    rooms = r.join(room, ["project_id", "room_id"]).drop("room_id").withColumnRenamed("__r", "room_id")
+    materials = used.join(m, "material_id").withColumns({"material_id": F.col("__m"), "material_ord": F.col("__m").cast("int")}).drop("__m")
+    links = b.join(room, ["project_id", "room_id"]).join(used, ["project_id", "material_id"]).select("project_id", F.col("__r").alias("room_id"), F.col("__m").alias("material_id"))
+    return [p, rooms, materials, links, k]
+
+
 def document_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every project's totals from the tables that its document gives back."""
-    back = documents.from_documents(documents.to_documents(*_tables(spark, sf_dir, "projects", "rooms", "materials", "bridge", "markups")))
-    tiles = back["materials"].drop("project_id").dropDuplicates(["material_id"])  # one catalogue for all projects
-    areas = estimate.material_areas(back["rooms"], tiles, back["bridge"])
-    out = estimate.estimate_projects(back["projects"], back["rooms"], estimate.estimate_lines(areas, tiles))
+    """Every project's totals from the tables that its document gives back; each document numbers its rooms and materials from 1."""
+    back = documents.from_documents(documents.to_documents(*_renumbered(spark, sf_dir)))
+    areas = estimate.material_areas(back["rooms"], back["materials"], back["bridge"])
+    out = estimate.estimate_projects(back["projects"], back["rooms"], estimate.estimate_lines(areas, back["materials"]))
     return out.select("project_id", "name", *(F.expr(_m4(c)).alias(c) for c in ("materials", "floor_sf", "calibrated_sf", "labor", "subtotal", "tax", "total")))
 
 
@@ -424,7 +433,7 @@ def report_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, r, m, b = _tables(spark, sf_dir, "projects", "rooms", "materials", "bridge")
     lines = _lines(spark, sf_dir)
     names = store.room_materials(_assigned_rooms(spark, sf_dir), m)
-    return documents.workbooks(lines, estimate.estimate_projects(p, r, lines), r, names, m, b)
+    return documents.workbooks(p, lines, estimate.estimate_projects(p, r, lines), r, names, m, b)
 
 
 def detection_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
