@@ -168,13 +168,12 @@ def _offcuts(array: str) -> list:
 
 def cut_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every assignment of a cut, with the offcuts it makes."""
-    steps = _own_analysis(spark, sf_dir).select("project_id", "material_id", F.posexplode("steps").alias("n", "s")).select("project_id", "material_id", "n", "s.*")
-    return steps.select("*", *_offcuts("produces")).drop("produces")
+    return cuts.steps(_pairs(spark, sf_dir)).select("*", *_offcuts("produces")).drop("produces", "mode")
 
 
 def cut_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4, O2."""
-    return cutsheet.cut_list(_own_analysis(spark, sf_dir))
+    return cutsheet.cut_list(cuts.steps(_pairs(spark, sf_dir)))
 
 
 def cut_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +183,7 @@ def cut_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cut_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A6, P7."""
-    return cutsheet.cut_plan(_own_analysis(spark, sf_dir)).select("*", *_offcuts("offcuts")).drop("offcuts")
+    return cutsheet.cut_plan(cuts.steps(_pairs(spark, sf_dir))).select("*", *_offcuts("offcuts")).drop("offcuts")
 
 
 def cut_sheet_html(spark: SparkSession, sf_dir: str) -> DataFrame:

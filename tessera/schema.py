@@ -5,10 +5,13 @@ POINTS = f"array<{POINT}>"
 LAYOUT = f"struct<pattern:string,angle_deg:double,origin:{POINT}>"
 PROJECT = "project_id bigint, name string, unit_system string, scale double, tax_rate double, labor_rate_per_sf double"
 ROOM = f"project_id bigint, room_id bigint, room_ord int, name string, points {POINTS}, wall_height double, pattern string"
-MATERIAL = """project_id bigint, material_id bigint, material_ord int, name string, color string, type string, tw double, th double, grout double, pattern string, waste double,
+MATERIAL = """material_id bigint, name string, type string, tw double, th double, grout double, pattern string, waste double,
 price double, price_unit string, sf_per_box double, face_coverage double, cost_mode string, optimize_whole_job boolean,
 cut_safety_pct double, grain_locked boolean"""
-BRIDGE = "project_id bigint, room_id bigint, pos int, material_id bigint"
+BRIDGE = "project_id bigint, room_id bigint, material_id bigint"
+#: What the tables of documents have besides: a material's project, place and colour, and an assignment's place.
+PROJECT_MATERIAL = f"project_id bigint, material_ord int, color string, {MATERIAL}"
+ORDERED_BRIDGE = f"{BRIDGE}, pos int"
 MARKUP = f"project_id bigint, markup_id bigint, type string, points {POINTS}, name string, note string, unit_cost double"
 #: A stored project: the document as JSON beside the columns that lists and reports read.
 STORED = "project_id bigint, owner bigint, name string, unit_system string, doc string, floor_sf double, total_cost double, archived boolean, created_at timestamp, updated_at timestamp"
