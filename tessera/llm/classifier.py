@@ -5,8 +5,8 @@ word with itself are hashed into buckets; each bucket has a learned vector; a do
 the mean of its vectors; a linear layer with softmax gives the labels' probabilities.
 Without that bigram a word said over and over looks like prose: of 788 held-out junk
 documents 76 % were found then, all of them with it. Stochastic gradient descent in numpy
-trains on a bounded sample of labelled rows (MAX_TRAIN_ROWS and MAX_TRAIN_BYTES, documented
-bounds); its cost does not grow with the corpus. As the score is linear in the mean, each bucket's
+trains on a bounded sample of labelled rows (MAX_TRAIN_ROWS, a documented bound), each of any length: the tasks turn
+a whole text into its buckets and their shares, of which a text's MOST_BUCKETS most frequent teach; the cost does not grow with the corpus. As the score is linear in the mean, each bucket's
 vector folds into one number, and whole texts are scored by array operations in the tasks.
 
 Null and empty texts have one feature, the end mark, and so a score. Labels that repeat for
@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import bound_batches, map_rows
 
 BUCKETS = 1 << 17
 DIM = 8
 #: The labelled rows that training takes at most (those with the smallest hash of their id).
 MAX_TRAIN_ROWS = 4000
-#: Longer texts are scored like all others, but do not teach; so the driver gets 256 MB at the very most.
-MAX_TRAIN_BYTES = 1 << 16
+#: Buckets of a text that teach at most (texts of up to some 10,000 characters have fewer); so the driver gets 0.5 GB at the very most.
+MOST_BUCKETS = 1 << 14
 EPOCHS, BATCH, RATE = 5, 32, 0.5
 NGRAMS = (3, 5)
 THRESHOLD = 0.3
@@ -119,23 +119,45 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
+def shares(text: bytes, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """A text's buckets and their shares of its features: the MOST_BUCKETS most frequent, ties by bucket.
+
+    Long texts are counted in blocks that end at white space; an n-gram keeps to its word, so none is cut but in a word longer than a block.
+    """
+    counts = np.zeros(BUCKETS, np.int64)
+    at = 0
+    while at < len(text) or not at:
+        end = at + block
+        if end < len(text):
+            cut = max(text.rfind(s, at, end) for s in (b" ", b"\n", b"\t"))
+            end = cut + 1 if cut > at else end
+        counts += np.bincount(features(*joined([text[at:end]]))[0], minlength=BUCKETS)
+        at = max(end, 1)
+    counts[END] = 1
+    ids = np.flatnonzero(counts)
+    total = counts[ids].sum()
+    if len(ids) > MOST_BUCKETS:
+        ids = np.sort(ids[np.lexsort((ids, -counts[ids]))[:MOST_BUCKETS]])
+    return ids.astype(np.int32), (counts[ids] / total).astype(np.float32)
+
+
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
-    """Gradient descent on the vectors and the softmax layer. Classes weigh as their numbers' square roots, so rare junk counts."""
+    return train_on([shares(t) for t in texts], labels, seed)
+
+
+def train_on(parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> Model:
+    """Gradient descent on the vectors and the softmax layer, from each text's buckets and shares. Classes weigh as their numbers' square roots, so rare junk counts."""
     share = float(np.mean(labels)) if len(labels) else 0.5
     if not 0 < share < 1:
         logit = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         return Model(np.zeros(BUCKETS), logit if len(labels) else 0.0)
-    parts = []
-    for t in texts:
-        ids, counts = np.unique(features(*joined([t]))[0], return_counts=True)
-        parts.append((ids.astype(np.int32), (counts / counts.sum()).astype(np.float32)))
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     weigh = np.sqrt(0.5 / np.array([1 - share, share], np.float32))
-    steps, step = EPOCHS * -(-len(texts) // BATCH), 0
+    steps, step = EPOCHS * -(-len(parts) // BATCH), 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(parts))
         for k in range(0, len(order), BATCH):
             some = order[k : k + BATCH]
             ids = np.concatenate([parts[i][0] for i in some])
@@ -164,13 +186,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> Model:
-    """Learns from at most max_rows labelled documents of at most MAX_TRAIN_BYTES that are not held out."""
+    """Learns from at most max_rows labelled documents, of any length, that are not held out."""
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).where(F.length("text") <= MAX_TRAIN_BYTES)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     taught = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # at most max_rows ids are broadcast
-    rows = taught.toArrow().sort_by("doc_id")
-    return train([x.as_py() for x in rows["text"]], np.array(rows["label"].to_pylist(), np.int64))
+
+    def counted(batches):
+        for b in batches:
+            found = [shares(t.as_py() or b"") for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float32()))], names=["doc_id", "label", "ids", "shares"])
+
+    kind = taught.schema["doc_id"].dataType.simpleString()
+    rows = taught.mapInArrow(counted, f"doc_id {kind}, label int, ids array<int>, shares array<float>").toArrow().sort_by("doc_id")
+    parts = [(i.values.to_numpy(), s.values.to_numpy()) for i, s in zip(rows["ids"], rows["shares"], strict=True)]
+    return train_on(parts, np.array(rows["label"].to_pylist(), np.int64))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), text: str = "text", name: str = "score") -> DataFrame:

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessera.llm import collocations, lexical, toxicity
+from tessera.llm import classifier, collocations, lexical, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 CLASH = ", fp string, c string, n string, w string, rank string, m string, terms string, score string, q string, phrase string, size string, a string, label string"
@@ -211,3 +211,21 @@ def test_windows_end_with_their_text():
         data, _ = toxicity.stream([t])
         at = toxicity.places(data, weight).astype(float)
         assert toxicity.windows(at) == pytest.approx([at[i : i + toxicity.WINDOW].sum() for i in range(len(at))], abs=1e-5)
+
+
+def test_long_texts_teach_quality(spark):
+    """Labelled texts of any length teach: blocks of a long text have the features of the whole."""
+    r = random.Random(6)
+    text = " ".join("".join(r.choice("abcdefé") for _ in range(r.randint(1, 9))) for _ in range(4000)).encode()
+    buckets, counts = np.unique(classifier.features(*classifier.joined([text]))[0], return_counts=True)
+    few = [classifier.shares(text, block) for block in (1 << 18, 5000)]
+    order = np.lexsort((buckets, -counts))[: classifier.MOST_BUCKETS]
+    assert set(few[0][0]) == set(buckets[order]) and few[0][1].sum() == pytest.approx(counts[order].sum() / counts.sum(), rel=1e-5)
+    shared = len(set(few[0][0]) & set(few[1][0]))
+    assert shared > 0.999 * len(few[0][0])  # bigrams of a word with itself at a block's border alone may differ
+    rows = [(i, ("fine prose here and there " if i % 2 else "zzz qqq ") * (20_000 if i < 20 else 10)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")  # all of them long
+    model = classifier.fit(docs, labels)
+    got = {x["doc_id"]: x["score"] for x in classifier.score(docs, model).collect()}
+    assert min(s for i, s in got.items() if i % 2) > max(s for i, s in got.items() if not i % 2)
