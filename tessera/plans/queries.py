@@ -472,7 +472,7 @@ def limiter_fixed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def limiter_sliding_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W2, W3 as a stream."""
-    return streams.finished(streams.sliding_log(streams.requests(spark, sf_dir), DAY_MS, PER_DAY), "limiter_sliding")
+    return streams.settled(streams.finished(streams.sliding_log(streams.requests(spark, sf_dir), DAY_MS, PER_DAY), "limiter_sliding"))
 
 
 def debounced_saves_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

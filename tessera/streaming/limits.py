@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators.limits import MOST, WINDOW_MS
 
@@ -20,26 +21,70 @@ def fixed_windows(requests: DataFrame, window_ms: int = WINDOW_MS, most: int = M
     return windows.select("identity", F.expr(f"unix_millis(window.start) DIV {window_ms}").alias("bucket"), "hits", F.greatest(F.lit(0).cast("long"), F.col("hits") - most).alias("limited"))
 
 
-def sliding_log(requests: DataFrame, window_ms: int = WINDOW_MS, most: int = MOST, late: str = "5 minutes") -> DataFrame:
-    """Each request with the hits in the window before it. State is an identity's times in the window; it goes when the watermark has passed them all."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts_ms", "event_id"])
-        hits = []
-        for now in rows["ts_ms"]:
-            times = [t for t in times if now - t < window_ms]
-            times.append(int(now))
-            hits.append(len(times))
-        state.update((times,))
-        state.setTimeoutTimestamp(max(times[-1] + window_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": rows["event_id"], "identity": key[0], "ts_ms": rows["ts_ms"], "hits": hits, "limited": [h > most for h in hits]})
+class SlidingLog(StatefulProcessor):
+    """Counts of one identity's requests in the window before each (W2), right for rows that come late too.
+
+    List state holds (ts_ms, event_id) of the requests that a row may still need: those later than the watermark less the window. A timer
+    takes away what the watermark has passed; in event time it stands for a time to live, which Spark has for processing time alone.
+    A late row raises the hits of later requests in its window, so those are sent again.
+    """
+
+    def __init__(self, window_ms: int, most: int):
+        self.window_ms, self.most = window_ms, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.log = handle.getListState("log", "ts_ms bigint, event_id bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        past = sorted((int(t), int(e)) for t, e in self.log.get())
+        new = sorted((int(t), int(e)) for b in rows for t, e in zip(b["ts_ms"], b["event_id"], strict=True))
+        now = sorted(past + new)
+        if past and new[0] < past[-1]:
+            before = dict(zip(past, self._hits(past), strict=True))
+            fresh = set(new)
+            out = [(x, h) for x, h in zip(now, self._hits(now), strict=True) if x in fresh or before[x] != h]
+        else:
+            out = list(zip(now, self._hits(now), strict=True))[len(past) :]
+        self._keep(now, timerValues.getCurrentWatermarkInMs(), None if past else new)
+        if not past:
+            self.handle.registerTimer(now[-1][0] + self.window_ms)
+        yield pd.DataFrame({"event_id": [e for (_, e), _ in out], "identity": key[0], "ts_ms": [t for (t, _), _ in out], "hits": [h for _, h in out], "limited": [h > self.most for _, h in out]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        left = self._keep(sorted((int(t), int(e)) for t, e in self.log.get()), timerValues.getCurrentWatermarkInMs())
+        if left:
+            self.handle.registerTimer(left[-1][0] + self.window_ms)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+    def _hits(self, log: list[tuple[int, int]]) -> list[int]:
+        times = [t for t, _ in log]
+        return [i + 1 - bisect_right(times, t - self.window_ms) for i, t in enumerate(times)]
+
+    def _keep(self, log: list[tuple[int, int]], watermark: int, added: list | None = None) -> list[tuple[int, int]]:
+        left = [x for x in log if x[0] > watermark - self.window_ms]
+        if not left:
+            self.log.clear()
+        elif added is not None and len(left) == len(log):
+            self.log.appendList(added)
+        else:
+            self.log.put(left)
+        return left
+
 
+def sliding_log(requests: DataFrame, window_ms: int = WINDOW_MS, most: int = MOST, late: str = "5 minutes") -> DataFrame:
+    """Each request with the hits in the window before it. A request comes again, with more hits, when a late one turns up in its window:
+    settled() keeps the last word. Needs the RocksDB state store, which run_once() sets."""
     schema = "event_id long, identity long, ts_ms long, hits long, limited boolean"
-    return requests.withWatermark("ts", late).groupBy("identity").applyInPandasWithState(update, schema, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return requests.withWatermark("ts", late).groupBy("identity").transformWithStateInPandas(SlidingLog(window_ms, most), schema, "append", "eventTime")
+
+
+def settled(hits: DataFrame) -> DataFrame:
+    """What a sliding_log() stream wrote, each request once: late requests only ever add hits, so the largest number is the last."""
+    return hits.groupBy("event_id", "identity", "ts_ms").agg(F.max("hits").alias("hits"), F.bool_or("limited").alias("limited"))
 
 
 def debounced(changes: DataFrame, quiet_ms: int, late: str = "1 minute") -> DataFrame:
@@ -79,6 +124,17 @@ def finished(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Handles all input that is there, writes Parquet, and stops."""
-    stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+    """Handles all input that is there, writes Parquet, and stops. Its state is in RocksDB, so it need not fit the heap; the session's setting stays."""
+    spark = stream.sparkSession
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    finally:
+        spark.conf.set(PROVIDER, before)
+    query.awaitTermination()
