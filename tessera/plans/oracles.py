@@ -180,6 +180,11 @@ SELECT event_id AS request_id, i AS ord, CASE WHEN event_id % 4 = i THEN 'Room'
         "debounced_saves": f"""{duck('requests')} SELECT identity, event_id, ts_ms FROM requests QUALIFY coalesce(lead(ts_ms) OVER (PARTITION BY identity ORDER BY ts_ms, event_id) - ts_ms >= 14400000, true)""",
     }
     out["document_estimate"] = out["project_estimate"]
+    out["layout_patches"] = f"""{duck('projects', 'rooms')} SELECT project_id, concat('n', project_id) AS note, room_id, r.name, pattern, CASE WHEN room_id % 3 = 0 THEN (room_id % 90)::DOUBLE ELSE angle_deg END AS angle,
+        origin_x AS x, origin_y AS y, len(points)::BIGINT AS corners FROM rooms r JOIN projects USING (project_id)"""
+    out["snapshot_load"] = """SELECT c_custkey AS project_id, CASE c_custkey % 4 WHEN 0 THEN concat('A', c_custkey) WHEN 2 THEN NULL ELSE 'Untitled Takeoff' END AS name,
+        CASE c_custkey % 4 WHEN 2 THEN NULL WHEN 3 THEN 'metric_m' ELSE 'imperial_ft_in' END AS unit_system, CASE WHEN c_custkey % 4 IN (1, 3) THEN 8.625e0 END AS tax_rate,
+        CASE c_custkey % 4 WHEN 2 THEN NULL WHEN 3 THEN 2.5e0 ELSE 0e0 END AS labor, CASE WHEN c_custkey % 4 = 0 THEN c_custkey END AS own FROM customer"""
     # a stream gives what its batch gives once the watermark, so far behind the latest request, has passed it
     out["limiter_sliding_stream"] = out["limiter_sliding"]
     out["limiter_fixed_stream"] = f"{out['limiter_fixed']} HAVING (bucket + 1) * {DAY_MS} <= (SELECT max(ts_ms) FROM requests) - 300000"

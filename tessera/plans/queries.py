@@ -9,7 +9,8 @@ from ..functions import catalog as C
 from ..functions import geometry as G
 from ..functions import units as U
 from ..operators import cuts, cutsheet, estimate, layout, limits, markups, spatial, store
-from ..sources import detection, documents
+from ..sources import detection, documents, variants
+from ..schema import DOCUMENT
 from ..streaming import limits as streams
 from .fixtures import load
 
@@ -419,6 +420,25 @@ def document_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("project_id", "name", *(F.expr(_m4(c)).alias(c) for c in ("materials", "floor_sf", "calibrated_sf", "labor", "subtotal", "tax", "total")))
 
 
+def layout_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a field that the engine does not know, and with new angles in the layouts of every third room; all else stays."""
+    p, r, m, b, k = _tables(spark, sf_dir, "projects", "rooms", "materials", "bridge", "markups")
+    docs = variants.set_fields(documents.to_documents(p, r, m, b, k), p.selectExpr("project_id", "to_json(named_struct('planNote', concat('n', project_id))) AS patch"))
+    angles = r.where("room_id % 3 = 0").selectExpr("project_id", "CAST(room_id AS STRING) AS id", "1 AS seq", "to_json(named_struct('layout', named_struct('angleDeg', CAST(room_id % 90 AS DOUBLE)))) AS patch")
+    after = variants.patch_items(docs, angles)
+    back = after.select("project_id", F.get_json_object("doc", "$.planNote").alias("note"), F.from_json("doc", DOCUMENT).alias("d")).select("project_id", "note", F.explode("d.rooms").alias("r"))
+    return back.select("project_id", "note", F.expr("CAST(r.id AS BIGINT)").alias("room_id"), "r.name", "r.layout.pattern", F.col("r.layout.angleDeg").alias("angle"), F.col("r.layout.origin.x").alias("x"), F.col("r.layout.origin.y").alias("y"), F.expr("CAST(size(r.points) AS BIGINT)").alias("corners"))
+
+
+def snapshot_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots over a new project's fields: some without fields, some with ones that the engine does not know, some no JSON."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    forms = ["""concat('{"rooms": [], "name": "A', c_custkey, '", "taxRate": null, "own": {"a": [1, ', c_custkey, ']}}')""", "'{}'", "'no json'", """'{"unitSystem": "metric_m", "laborRatePerSf": 2.5}'"""]
+    docs = variants.load_snapshots(c.selectExpr("c_custkey AS project_id", "CASE c_custkey % 4 " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms)) + " END AS doc"))
+    at = lambda path: F.get_json_object("doc", f"$.{path}")
+    return docs.select("project_id", at("name").alias("name"), at("unitSystem").alias("unit_system"), at("taxRate").cast("double").alias("tax_rate"), at("laborRatePerSf").cast("double").alias("labor"), at("own.a[1]").cast("long").alias("own"))
+
+
 def report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of every project's report."""
     p, r, m = _tables(spark, sf_dir, "projects", "rooms", "materials")
@@ -484,7 +504,7 @@ QUERIES = [
     project_estimate, material_areas, estimate_lines, estimate_lines_cuts, room_geometry, tile_in_room, view_transform, unit_formats, unit_numbers, unit_parse, scales, text_functions,
     layout_tally, wall_segments, cut_pieces, cut_analysis, cut_comparison, cut_steps, cut_list, cut_rooms, cut_plan, cut_sheet_html, markup_values, markup_summary, markup_labels, markup_commits,
     room_under_pointer, hit_test, marquee, marquee_selection, toggled_selection, plan_planes, count_markups, typed_dimensions, owner_projects, library_list, detection_commits, document_estimate, drawn_rooms, moved_rooms, fit_view, camera, add_rooms, toggle_assignments, delete_materials, add_floor_material, change_pattern, merge_rooms, tile_library,
-    project_list, project_upsert, project_headline, room_materials, document_round_trip, report_csv, report_xlsx, detection_cleaning, detection_requests, limiter_fixed, limiter_sliding, debounced_saves,
+    project_list, project_upsert, project_headline, room_materials, document_round_trip, layout_patches, snapshot_load, report_csv, report_xlsx, detection_cleaning, detection_requests, limiter_fixed, limiter_sliding, debounced_saves,
     limiter_fixed_stream, limiter_sliding_stream, debounced_saves_stream,
 ]
 

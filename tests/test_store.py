@@ -69,3 +69,22 @@ def test_late_requests_in_a_stream(spark, tmp_path):
     assert sorted(map(tuple, streams.settled(out).select("event_id", "hits", "limited").collect())) == want
     assert out.count() > len(rows)  # some were sent again
     assert len(list((tmp_path / "state" / "commits").glob("[0-9]*"))) >= 3
+
+
+def test_patches_keep_what_they_do_not_name(spark):
+    import json
+
+    from tessera.sources import variants
+
+    doc = {"name": "P", "mine": {"a": [1, None, "x"]}, "rooms": [{"id": "r", "new": 7, "layout": {"pattern": "grid", "origin": {"x": 1.5, "y": 2}, "angleDeg": 0}}, {"id": "s"}, "odd"]}
+    docs = spark.createDataFrame([(1, json.dumps(doc)), (2, '{"rooms": null}'), (3, "{}")], "project_id bigint, doc string")
+    patches = spark.createDataFrame([(1, "r", 2, '{"layout": {"angleDeg": 30}}'), (1, "r", 1, '{"layout": {"angleDeg": 45, "pattern": "brick_50"}, "name": "Hall"}'), (1, "s", 1, '{"layout": {"angleDeg": 5}, "new": null}'), (1, "gone", 1, "{}"), (2, "r", 1, '{"a": 1}')], "project_id bigint, id string, seq int, patch string")
+    got = {r["project_id"]: json.loads(r["doc"]) for r in variants.patch_items(docs, patches).collect()}
+    want = json.loads(json.dumps(doc))
+    want["rooms"][0] |= {"name": "Hall", "layout": {"pattern": "brick_50", "origin": {"x": 1.5, "y": 2}, "angleDeg": 30}}
+    want["rooms"][1] |= {"layout": {"angleDeg": 5}, "new": None}
+    assert got == {1: want, 2: {"rooms": None}, 3: {}}
+    flat = json.loads(variants.patch_items(docs, patches, deep=()).where("project_id = 1").first()["doc"])
+    assert flat["rooms"][0]["layout"] == {"angleDeg": 30}
+    loaded = {r["project_id"]: r["doc"] and json.loads(r["doc"]) for r in variants.load_snapshots(docs.unionByName(spark.createDataFrame([(4, "[1]"), (5, None)], "project_id bigint, doc string"))).collect()}
+    assert loaded[1] == {**variants.BLANK, **doc} and loaded[3] == variants.BLANK and loaded[4] is None and loaded[5] is None
