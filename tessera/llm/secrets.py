@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, shared_path, strings, unused
+from .common import bound_batches, map_rows, shared_path, strings, unused
 
 #: kind, pattern, group whose length counts, its least length. Leftmost matches that do not
 #: overlap within a kind; those whose group is too short are then dropped.
@@ -89,7 +89,8 @@ def update_ledger(versions: DataFrame, ledger_path: str, rules=RULES, text: str
 def _with_findings(versions: DataFrame, ledger: DataFrame, text: str, found: str) -> DataFrame:
     """`versions` and, as `found`, the findings of its blob (null: none)."""
     blob, salt = unused([*versions.columns, found], "blob"), unused([*versions.columns, found], "salt")
-    hits = ledger.where(F.size("findings") > 0).select(F.col("blob_id").alias(blob), F.col("findings").alias(found), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    # two scans at once may have told the ledger of one blob twice
+    hits = ledger.where(F.size("findings") > 0).dropDuplicates(["blob_id"]).select(F.col("blob_id").alias(blob), F.col("findings").alias(found), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
     others = [F.col(f"`{f.name}`") for f in versions.schema if f.name != text and "map<" not in f.dataType.simpleString()]
     keyed = versions.withColumn(blob, blob_id(F.col(f"`{text}`"))).withColumn(salt, F.pmod(F.xxhash64(F.lit(0), *others), F.lit(SALTS)).cast("int"))
     return keyed.join(hits, [blob, salt], "left").drop(blob, salt)
@@ -100,15 +101,29 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, paths: list[str], t
     return _with_findings(versions.select(*dict.fromkeys([*paths, text])), ledger, text, "findings").select(*paths, "findings")
 
 
+def without(text: str, spans: list[tuple[int, int]], placeholder: str) -> str:
+    """The text with each span replaced, in one pass; spans that meet or overlap become one."""
+    parts, at, open_ = [], 0, None
+    for a, b in sorted(spans):
+        if open_ is not None and a <= open_:
+            open_ = max(open_, b)
+        else:
+            if open_ is not None:
+                at = open_
+            parts += [text[at:a], placeholder]
+            open_ = b
+    return "".join(parts) + text[open_ or 0 :]
+
+
 def redact(versions: DataFrame, ledger: DataFrame, text: str = "text", placeholder: str = PLACEHOLDER) -> DataFrame:
     """`versions` with every found span of the text replaced; overlapping spans become one."""
     found = unused(versions.columns, "findings")
-    spans = f"""aggregate(sort_array(transform({found}, f -> struct(f.start as start, f.end as end))), cast(array() as array<struct<a:int,b:int>>), (m, f) ->
-        case when size(m) > 0 and f.start <= element_at(m, -1).b
-             then concat(slice(m, 1, size(m) - 1), array(struct(element_at(m, -1).a as a, greatest(element_at(m, -1).b, f.end) as b)))
-             else concat(m, array(struct(f.start as a, f.end as b))) end)"""
-    mark = placeholder.replace("'", "''")
-    cut = F.expr(f"aggregate(reverse({spans}), `{text}`, (t, s) -> concat(substring(t, 1, s.a), '{mark}', substring(t, s.b + 1)))")
+    bound_batches(versions.sparkSession)
+
+    def cut_out(texts: pa.Array, findings: pa.Array) -> pa.Array:
+        return pa.array([t if f is None or t is None else without(t, [(x["start"], x["end"]) for x in f], placeholder) for t, f in zip(texts.to_pylist(), findings.to_pylist(), strict=True)], pa.string())
+
+    cut = F.arrow_udf(cut_out, "string")(F.col(f"`{text}`"), F.col(found))
     joined = _with_findings(versions, ledger, text, found)
     return joined.select(*(F.when(F.col(found).isNull(), F.col(f"`{c}`")).otherwise(cut).alias(c) if c == text else F.col(f"`{c}`") for c in versions.columns))
 

@@ -229,3 +229,20 @@ def test_long_texts_teach_quality(spark):
     model = classifier.fit(docs, labels)
     got = {x["doc_id"]: x["score"] for x in classifier.score(docs, model).collect()}
     assert min(s for i, s in got.items() if i % 2) > max(s for i, s in got.items() if not i % 2)
+
+
+def test_redaction_is_one_pass(spark, tmp_path):
+    """16,000 secrets in one text, spans that overlap, and a ledger that tells a blob twice."""
+    import time
+
+    from tessera.llm import secrets
+
+    assert secrets.without("abcdefghij", [(5, 7), (1, 3), (2, 4), (7, 8)], "*") == "a*e*ij" and secrets.without("ab", [], "*") == "ab" and secrets.without("é漢x", [(0, 1), (2, 3)], "#") == "#漢#"
+    many = " ".join(f"token=abcdef{i:06d}" for i in range(16_000))
+    docs = spark.createDataFrame([(1, many), (2, None), (3, "nothing"), (4, many)], "doc_id bigint, text string")
+    ledger = secrets.update_ledger(docs, str(tmp_path / "ledger"))
+    start = time.time()
+    got = sorted(secrets.redact(docs, ledger.union(ledger)).collect())
+    assert time.time() - start < 30 and [r["doc_id"] for r in got] == [1, 2, 3, 4]
+    assert got[0]["text"] == got[3]["text"] and "abcdef" not in got[0]["text"] and got[0]["text"].count(secrets.PLACEHOLDER) == 16_000
+    assert got[1]["text"] is None and got[2]["text"] == "nothing"
