@@ -180,6 +180,11 @@ SELECT event_id AS request_id, i AS ord, CASE WHEN event_id % 4 = i THEN 'Room'
         "debounced_saves": f"""{duck('requests')} SELECT identity, event_id, ts_ms FROM requests QUALIFY coalesce(lead(ts_ms) OVER (PARTITION BY identity ORDER BY ts_ms, event_id) - ts_ms >= 14400000, true)""",
     }
     out["document_estimate"] = out["project_estimate"]
+    out["report_xlsx_rooms"] = f"""{MAIN}, n AS (SELECT room_id, string_agg(m.name, ' | ' ORDER BY material_id) AS names FROM bridge JOIN materials m USING (material_id) GROUP BY 1)
+        SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY room_id) AS row, r.name, {RND(AREA('points'), 2)} AS area, {RND(PER('points'), 2)} AS perimeter, wall_height AS height, pattern, coalesce(names, '') AS materials
+        FROM rooms r JOIN projects USING (project_id) LEFT JOIN n USING (room_id)"""
+    out["report_xlsx_materials"] = f"""{MAIN} SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY material_id) AS row, m.name, type, tw::DOUBLE AS tw, th::DOUBLE AS th, grout::DOUBLE AS grout, pattern, waste::DOUBLE AS waste, price::DOUBLE AS price, price_unit AS unit, sf_per_box::DOUBLE AS sf_per_box
+        FROM (SELECT DISTINCT project_id, material_id FROM bridge) JOIN projects USING (project_id) JOIN materials m USING (material_id)"""
     out["layout_patches"] = f"""{duck('projects', 'rooms')} SELECT project_id, concat('n', project_id) AS note, room_id, r.name, pattern, CASE WHEN room_id % 3 = 0 THEN (room_id % 90)::DOUBLE ELSE angle_deg END AS angle,
         origin_x AS x, origin_y AS y, len(points)::BIGINT AS corners FROM rooms r JOIN projects USING (project_id)"""
     out["snapshot_load"] = """SELECT c_custkey AS project_id, CASE c_custkey % 4 WHEN 0 THEN concat('A', c_custkey) WHEN 2 THEN NULL ELSE 'Untitled Takeoff' END AS name,

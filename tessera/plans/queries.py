@@ -455,6 +455,20 @@ def report_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.workbooks(p, lines, estimate.estimate_projects(p, r, lines), r, names, m, b)
 
 
+def report_xlsx_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rooms in every project's workbook, read back from its cells."""
+    rows = documents.read_workbooks(report_xlsx(spark, sf_dir), 2).where("row > 0")
+    number = lambda i: F.expr(f"CAST(cells[{i}] AS DOUBLE)")
+    return rows.select("project_id", F.col("row").cast("long").alias("row"), F.expr("cells[0]").alias("name"), number(1).alias("area"), number(2).alias("perimeter"), number(3).alias("height"), F.expr("cells[4]").alias("pattern"), F.expr("coalesce(get(cells, 5), '')").alias("materials"))
+
+
+def report_xlsx_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The materials in every project's workbook, read back from its cells."""
+    rows = documents.read_workbooks(report_xlsx(spark, sf_dir), 3).where("row > 0")
+    names = ["name", "type", "tw", "th", "grout", "pattern", "waste", "price", "unit", "sf_per_box"]
+    return rows.select("project_id", F.col("row").cast("long").alias("row"), *(F.expr(f"cells[{i}]" if n in ("name", "type", "pattern", "unit") else f"CAST(cells[{i}] AS DOUBLE)").alias(n) for i, n in enumerate(names)))
+
+
 def detection_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposed rooms, two for each event, cleaned."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -504,7 +518,7 @@ QUERIES = [
     project_estimate, material_areas, estimate_lines, estimate_lines_cuts, room_geometry, tile_in_room, view_transform, unit_formats, unit_numbers, unit_parse, scales, text_functions,
     layout_tally, wall_segments, cut_pieces, cut_analysis, cut_comparison, cut_steps, cut_list, cut_rooms, cut_plan, cut_sheet_html, markup_values, markup_summary, markup_labels, markup_commits,
     room_under_pointer, hit_test, marquee, marquee_selection, toggled_selection, plan_planes, count_markups, typed_dimensions, owner_projects, library_list, detection_commits, document_estimate, drawn_rooms, moved_rooms, fit_view, camera, add_rooms, toggle_assignments, delete_materials, add_floor_material, change_pattern, merge_rooms, tile_library,
-    project_list, project_upsert, project_headline, room_materials, document_round_trip, layout_patches, snapshot_load, report_csv, report_xlsx, detection_cleaning, detection_requests, limiter_fixed, limiter_sliding, debounced_saves,
+    project_list, project_upsert, project_headline, room_materials, document_round_trip, layout_patches, snapshot_load, report_csv, report_xlsx, report_xlsx_rooms, report_xlsx_materials, detection_cleaning, detection_requests, limiter_fixed, limiter_sliding, debounced_saves,
     limiter_fixed_stream, limiter_sliding_stream, debounced_saves_stream,
 ]
 

@@ -132,3 +132,16 @@ def test_a_stream_of_changes_applies_once(spark, tmp_path):
     last.unlink()  # as if the run had died before it could note the last batch: it runs again
     table.follow(stream, str(tmp_path / "state")).awaitTermination()
     assert rows() == first  # times of change included
+
+
+def test_long_plan_images_stay_out(spark):
+    """A document keeps a plan image of fewer than 600,000 characters."""
+    import json
+
+    from tessera import schema
+    from tessera.sources import documents
+
+    none = [spark.createDataFrame([], f"{ddl}, wall_height double" if "points" in ddl and "wall_height" not in ddl else ddl) for ddl in (schema.ROOM, schema.MATERIAL, schema.BRIDGE, schema.MARKUP)]
+    projects = spark.createDataFrame([(1, "a", "x" * 599_999), (2, "b", "x" * 600_000), (3, "c", None)], "project_id bigint, name string, plan_image string").selectExpr("*", "'metric_m' AS unit_system", "1D AS scale", "0D AS tax_rate", "0D AS labor_rate_per_sf")
+    got = {r["project_id"]: json.loads(r["doc"]) for r in documents.to_documents(projects, *none).collect()}
+    assert len(got[1]["planImage"]) == 599_999 and "planImage" not in got[2] and "planImage" not in got[3]
