@@ -5,7 +5,8 @@ names turn into typed placeholders. Every word with a capital counts as a name,
 what stands before the passage; the slot check tells an article from a name. Hashes of all
 five-word template windows are joined. A window with fewer than LITERALS words that are no
 placeholders would fit by its placeholders alone, so it is compared by its values: an item of
-names or numbers matches word for word or not at all. A document that holds 0.8 or more of an
+names or numbers matches word for word or not at all. An item's place counts if either its template
+or its values are found, so a copy all in capitals, to which every word is a name, is found too. A document that holds 0.8 or more of an
 item's windows, counted by their places in the item, is a candidate; on the candidates alone
 the values in the slots are aligned, and an item's slot value must stand for one document value
 (0.8 or more of the slots agree), which catches re-parameterised questions.
@@ -74,36 +75,56 @@ def _arrays(words: str) -> dict[str, str]:
 
 def _hash(i: str, width: int) -> str:
     """SQL for a window's hash, from h, g and l."""
-    of = lambda c, by: by.join(f"get({c}, {i} + {k})" for k in range(width))
-    return f"IF({of('l', ' + ')} >= {LITERALS}, xxhash64({width}, {of('h', ', ')}), xxhash64(-{width}, {of('g', ', ')}))"
+    return f"IF({_is_template(i, width)}, xxhash64({width}, {_each('h', i, width, ', ')}), {_value_hash(i, width)})"
+
+
+def _each(array: str, i: str, width: int, by: str) -> str:
+    return by.join(f"get({array}, {i} + {k})" for k in range(width))
+
+
+def _is_template(i: str, width: int) -> str:
+    return f"{_each('l', i, width, ' + ')} >= {LITERALS}"
+
+
+def _value_hash(i: str, width: int) -> str:
+    return f"xxhash64(-{width}, {_each('g', i, width, ', ')})"
 
 
 def _tagged(raw: str) -> str:
     return f"transform({raw}, (w, i) -> struct({_tag('w', 'i')} AS t, lower(w) AS v))"
 
 
-def _slotted(rows: DataFrame, widths: list[int], *keep: str) -> DataFrame:
-    """`keep`, at, hash, slots: a row for each window; at: its first word; slots: the values under its placeholders."""
+def _slotted(rows: DataFrame, widths: list[int], *keep: str, both: bool = False) -> DataFrame:
+    """`keep`, at, hash, slots: a row for each window; at: its first word; slots: the values under its placeholders, none where it is compared by value.
+
+    both: besides, a row with the hash of the values for each window.
+    """
     tagged = rows.select(*keep, F.expr(_tagged("raw")).alias("words"))
     hashed = tagged.select(*keep, "words", *(F.expr(e).alias(c) for c, e in _arrays("words").items()))
-    slots = lambda i, n: f"transform(filter(slice(words, {i} + 1, {n}), w -> w.t IN ('<num>', '<unit>', '<name>')), w -> w.v)"
-    return hashed.select(*keep, F.expr(f"inline({_windows('h', widths, lambda i, n: f'struct({i} AS at, {_hash(i, n)} AS hash, {slots(i, n)} AS slots)')})"))
+    none = "CAST(array() AS array<string>)"
+    slots = lambda i, n: f"IF({_is_template(i, n)}, transform(filter(slice(words, {i} + 1, {n}), w -> w.t IN ('<num>', '<unit>', '<name>')), w -> w.v), {none})"
+    rows_of = _windows("h", widths, lambda i, n: f"struct({i} AS at, {_hash(i, n)} AS hash, {slots(i, n)} AS slots)")
+    if both:
+        rows_of = f"concat({rows_of}, {_windows('h', widths, lambda i, n: f'struct({i} AS at, {_value_hash(i, n)} AS hash, {none} AS slots)')})"
+    return hashed.select(*keep, F.expr(f"inline({rows_of})"))
 
 
 def _agreement(aligned: DataFrame, containment: float) -> DataFrame:
     """key, item_id, consistency and same (share of equal values) of the most consistent contained alignment.
 
-    aligned: key, item_id, n_windows, part, at, of, hash, places, asked, slots: pairs of windows; places: how often the item has the window. Bands are a quarter of the item wide
+    aligned: key, item_id, n_windows, part, at, of, hash, asked, slots: pairs of windows; (part, of): the item's place. Bands are a quarter of the item wide
     (four words at least); of two grids of them, half a band apart, one keeps together what drifts by half a band.
     """
     ids = ["key", "item_id", "n_windows"]
     near = Window.partitionBy("key", "item_id", "part", "offset")  # an item's windows bound it
     pairs = aligned.withColumn("offset", F.expr("at - of")).withColumn("support", F.count("*").over(near)).withColumn("width", F.expr("greatest(4, n_windows DIV 4)"))
     bands = F.expr("explode(array(struct(0 AS grid, floor(offset / width) AS place), struct(1 AS grid, floor(offset / width + 0.5D) AS place)))")
-    banded = pairs.withColumn("band", bands).groupBy(*ids, "band", "part", "of").agg(F.max_by(F.struct("hash", "places", "asked", "slots"), F.struct("support", -F.col("offset"))).alias("best"))
-    whole = aligned.select(*ids, F.expr("struct(2 AS grid, 0L AS place) AS band"), "at", "hash", "places", "asked", "slots").distinct().drop("at")
+    banded = pairs.withColumn("band", bands).groupBy(*ids, "band", "part", "of").agg(F.max_by(F.struct("asked", "slots"), F.struct("support", -F.col("offset"))).alias("best"))
+    whole = aligned.select(*ids, F.expr("struct(2 AS grid, 0L AS place) AS band"), "at", "hash", "asked", "slots").distinct().drop("at", "hash")
     rows = banded.select(*ids, "band", "best.*").unionByName(whole)
-    held = rows.groupBy(*ids, "band", "hash").agg(F.max("places").alias("places")).groupBy(*ids, "band").agg(F.sum("places").alias("n_held")).where(F.col("n_held") >= containment * F.col("n_windows") - 1e-9)
+    in_bands = banded.groupBy(*ids, "band").agg(F.count("*").alias("n_held"))  # a row for each place of the item
+    anywhere = aligned.groupBy(*ids).agg(F.countDistinct("part", "of").alias("n_held")).select(*ids, F.expr("struct(2 AS grid, 0L AS place) AS band"), "n_held")
+    held = in_bands.unionByName(anywhere).where(F.col("n_held") >= containment * F.col("n_windows") - 1e-9)
     slots = rows.join(held.select("key", "item_id", "band"), ["key", "item_id", "band"]).select("key", "item_id", "band", F.expr("inline_outer(arrays_zip(asked, slots))").alias("a", "b"))
     by_pair = slots.groupBy("key", "item_id", "band", "a", "b").agg(F.count("a").alias("n"))
     by_value = by_pair.groupBy("key", "item_id", "band", "a").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
@@ -118,24 +139,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", containme
     items = _words(known, text, "item_id", "part").where("size(raw) > 0")
     widths = sorted(r["n"] for r in items.select(F.least(F.size("raw"), F.lit(WIDTH)).alias("n")).distinct().collect())  # five values at most
     widths = widths or [WIDTH]
-    per_width = [_slotted(items.where(f"least(size(raw), {WIDTH}) = {n}"), [n], "item_id", "part") for n in widths]
+    per_width = [_slotted(items.where(f"least(size(raw), {WIDTH}) = {n}"), [n], "item_id", "part", both=True) for n in widths]
     asked = per_width[0]
     for more in per_width[1:]:
         asked = asked.unionByName(more)
-    asked = materialized(asked, "benchmark_windows")
-    distinct = asked.groupBy("item_id", "hash").agg(F.countDistinct("part", "at").alias("places"))
-    total = distinct.groupBy("item_id").agg(F.sum("places").alias("n_windows"))
+    asked = materialized(asked.distinct(), "benchmark_windows")
+    places = asked.select("item_id", "hash", F.struct("part", "at").alias("place")).distinct()
+    total = places.groupBy("item_id").agg(F.countDistinct("place").alias("n_windows"))
     small = asked.count() <= BROADCAST_WINDOWS
     bounded = F.broadcast if small else (lambda df: df)
 
     rows = docs.select("doc_id", F.col(f"`{text}`").alias("text"), row_key("doc_id", text).alias("key"))
     hashed = _words(rows, "text", "doc_id", "key").select("doc_id", "key", F.expr(_tagged("raw")).alias("words")).select("doc_id", "key", *(F.expr(e).alias(c) for c, e in _arrays("words").items()))
     seen = hashed.select("doc_id", "key", F.explode(F.expr(f"array_distinct({_windows('h', widths, _hash)})")).alias("hash"))
-    found = seen.join(bounded(distinct), "hash").groupBy("doc_id", "key", "item_id", "hash").agg(F.max("places").alias("places")).groupBy("doc_id", "key", "item_id").agg(F.sum("places").alias("n_found"))
+    found = seen.join(bounded(places), "hash").groupBy("doc_id", "key", "item_id").agg(F.countDistinct("place").alias("n_found"))
     candidates = materialized(found.join(bounded(total), "item_id").where(F.col("n_found") >= containment * F.col("n_windows") - 1e-9), "candidates")
 
     again = among(rows, candidates).dropDuplicates(["key"])
-    items_at = asked.select("item_id", "part", "hash", F.col("at").alias("of"), F.col("slots").alias("asked")).distinct().join(distinct, ["item_id", "hash"])
+    items_at = asked.select("item_id", "part", "hash", F.col("at").alias("of"), F.col("slots").alias("asked"))
     aligned = _slotted(_words(again, "text", "doc_id", "key"), widths, "key").join(candidates.select("key", "item_id", "n_windows"), "key").join(bounded(items_at), ["item_id", "hash"])
     agreed = _agreement(materialized(aligned, "aligned"), containment)
     joined = candidates.join(agreed, ["key", "item_id"], "left")

@@ -596,7 +596,8 @@ def test_decontamination_brute_force(spark):
         for d, body in docs:
             doc = template(body)
             have = windows(doc)
-            found = sum(w in set(have) for w in asked)
+            values = [("", *(v for _, v in item[k : k + 5])) for k in range(len(item) - 4)]
+            found = sum(w in set(have) or v in set(have) for w, v in zip(asked, values))
             if found < 0.8 * len(asked) - 1e-9:
                 continue
             expected[d, i] = found / len(asked)
@@ -630,5 +631,6 @@ def test_decontamination_leaves_placeholders_alone(spark):
     docs = spark.createDataFrame([
         (1, "Maria Paul Hugo Olga Lena went home and then all of them slept"), (2, "a table " + numbers(1000, 70)), (3, "they met Anna Bob Carl Dora Emil at noon"), (4, "x " + numbers(3, 60)),
         (5, "so if Olga has 9 apples and eats 4 of them how many apples has Olga left you ask"), (6, "then Maria slept"), (7, "and Tom slept"), (8, numbers(500, 20_000)),
+        (9, "LOOK! IF ANNA HAS 3 APPLES AND EATS 2 OF THEM: HOW MANY APPLES HAS ANNA LEFT?"),
     ], "doc_id bigint, text string")
-    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()) == [(3, 1), (4, 2), (5, 4), (7, 3)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()) == [(3, 1), (4, 2), (5, 4), (7, 3), (9, 4)]
