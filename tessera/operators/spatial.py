@@ -6,11 +6,16 @@ equi-join on project and cell with a spatial test behind it, however many rooms
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import units as U
+from .layout import contained, corners_of
 
 
 def _ordered(rooms: DataFrame) -> DataFrame:
@@ -69,6 +74,17 @@ def on_screen(points: str, scale: str, zoom: str, shift_x: str, shift_y: str) ->
     return f"transform({points}, p -> named_struct('x', {at('x', shift_x)}, 'y', {at('y', shift_y)}))"
 
 
+def _under(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose pointer is near a vertex or inside the room as it is on the screen. As an expression, a filter would draw the room anew for every corner."""
+    for b in batches:
+        _, _, owner, x, y, before, _ = corners_of(b.column("points"))
+        scale, zoom, shift_x, shift_y, sx, sy = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("scale", "zoom", "shift_x", "shift_y", "sx", "sy"))
+        scaled = (np.nan_to_num(scale, nan=0.0) != 0)[owner]
+        by = np.where(scaled, scale[owner], 1.0)
+        inside = contained(sx, sy, owner, x / by * zoom[owner] + shift_x[owner], y / by * zoom[owner] + shift_y[owner], before)
+        yield b.select(["point_id", "room_id", "place", "vertex"]).filter(pa.array(inside | b.column("vertex").is_valid().to_numpy(zero_copy_only=False)))
+
+
 def hit_test(rooms: DataFrame, pointers: DataFrame, reach: float = 9.0) -> DataFrame:
     """V4: for pointers (point_id, project_id, sx, sy, scale, zoom, shift_x, shift_y, selected) the topmost room under them, or null.
 
@@ -80,9 +96,11 @@ def hit_test(rooms: DataFrame, pointers: DataFrame, reach: float = 9.0) -> DataF
     near_by = pointers.withColumns({"__x": F.expr(feet("sx", "shift_x")), "__y": F.expr(feet("sy", "shift_y")), "__r": F.abs(F.expr(feet(f"{reach + 1}D", "0D")))})
     around = near_by.select(*pointers.columns, *(F.expr(f"__{c} {sign} __r").alias(f"{m}{c}") for m, sign in (("min", "-"), ("max", "+")) for c in "xy"))
     joined = touching(around, _boxed(rooms, "points", _ordered(rooms).alias("place")))
-    drawn = joined.withColumn("path", F.expr(on_screen("points", "scale", "zoom", "shift_x", "shift_y")))
-    near = f"CASE WHEN room_id = selected THEN get(filter(sequence(0, size(path) - 1), i -> hypot(sx - path[i].x, sy - path[i].y) < {reach}), 0) END"
-    hits = drawn.withColumn("vertex", F.expr(near)).where(F.col("vertex").isNotNull() | F.expr(G.contains("sx", "sy", "path")))
+    shown = lambda a: G.to_screen(G.to_px(f"p.{a}", "scale"), "zoom", f"shift_{a}")
+    near = f"CASE WHEN room_id = selected THEN get(filter(transform(points, (p, i) -> IF(hypot(sx - {shown('x')}, sy - {shown('y')}) < {reach}, i, NULL)), i -> i IS NOT NULL), 0) END"
+    drawn = joined.select("point_id", "room_id", "place", F.expr(near).alias("vertex"), "points", "scale", "zoom", "shift_x", "shift_y", "sx", "sy")
+    kept = ["point_id", "room_id", "place", "vertex"]
+    hits = drawn.mapInArrow(_under, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in drawn.select(*kept).schema.fields))
     top = hits.groupBy("point_id").agg(F.max_by(F.struct("room_id", "vertex"), "place").alias("top"))
     return pointers.join(top, "point_id", "left").select("point_id", "project_id", "top.room_id", "top.vertex")
 

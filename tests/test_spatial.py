@@ -52,3 +52,12 @@ def test_hit_test_equals_all_pairs(spark):
     want = sorted((x["point_id"], x["t"]["room_id"], x["t"]["vertex"]) for x in hits.collect())
     got = sorted((x["point_id"], x["room_id"], x["vertex"]) for x in spatial.hit_test(rooms, pointers).where("room_id IS NOT NULL").collect())
     assert got == want and len(want) > 60 and any(v is not None for *_, v in want)
+
+
+def test_rooms_are_not_drawn_again_for_every_corner(spark):
+    """A filter that is pushed below the drawing of a room held it once for each corner's coordinate."""
+    rooms = spark.sql("SELECT 1L AS project_id, 2L AS room_id, array(named_struct('x', 0D, 'y', 0D), named_struct('x', 8D, 'y', 0D), named_struct('x', 8D, 'y', 8D), named_struct('x', 0D, 'y', 8D)) AS points")
+    points = spark.sql("SELECT id AS point_id, 1L AS project_id, 0.5D AS scale, 2L AS selected, 1D AS zoom, 0D AS shift_x, 0D AS shift_y, id * 4D - 8D AS sx, id * 4D - 8D AS sy FROM range(10)")
+    hits = spatial.hit_test(rooms, points)
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("transform(points") <= 10
+    assert {x["point_id"]: (x["room_id"], x["vertex"]) for x in hits.collect()} == {0: (None, None), 1: (2, 0), 2: (2, 0), 3: (2, 0), 4: (2, None), 5: (2, 2), 6: (2, 2), 7: (2, 2), 8: (None, None), 9: (None, None)}
