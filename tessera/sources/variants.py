@@ -10,6 +10,7 @@ import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from ..schema import DEFAULTS
 
@@ -19,7 +20,12 @@ BLANK = {"name": DEFAULTS["name"], "unitSystem": DEFAULTS["unit_system"], "scale
 
 def _fields(v: str) -> str:
     """SQL for an object's fields; of what is no object, none."""
-    return f"coalesce(IF(schema_of_variant({v}) LIKE 'OBJECT%', try_variant_get({v}, '$', 'map<string,variant>'), NULL), CAST(map() AS map<string,variant>))"
+    return f"coalesce(try_variant_get({v}, '$', 'map<string,variant>'), CAST(map() AS map<string,variant>))"
+
+
+def _parsed(docs: DataFrame) -> str:
+    """SQL for the variant of `doc`, which may be one."""
+    return "doc" if isinstance(docs.schema["doc"].dataType, VariantType) else "parse_json(doc)"
 
 
 def laid_over(base: str, patch: str, deep: tuple[str, ...] = ()) -> str:
@@ -42,25 +48,29 @@ def load_snapshots(snapshots: DataFrame) -> DataFrame:
     return v.withColumn("doc", whole).drop("__v")
 
 
-def set_fields(docs: DataFrame, patches: DataFrame) -> DataFrame:
-    """Documents (project_id, doc) with the fields that patches (project_id, patch as JSON, one for a project) set."""
+def set_fields(docs: DataFrame, patches: DataFrame, text: bool = True) -> DataFrame:
+    """Documents (project_id, doc) with the fields that patches (project_id, patch as JSON, one for a project) set; if not `text`, `doc` is
+    a VARIANT, which patch_items() takes, so that a document that both change is read and written once."""
     joined = docs.join(patches.select("project_id", F.col("patch").alias("__p")), "project_id", "left")
-    merged = F.expr(f"to_json({laid_over('parse_json(doc)', 'parse_json(__p)')})")
-    return joined.withColumn("doc", F.when(F.col("__p").isNotNull(), merged).otherwise(F.col("doc"))).drop("__p")
+    merged = laid_over(_parsed(docs), "parse_json(__p)")
+    merged, plain = (F.expr(f"to_json({merged})"), F.col("doc")) if text else (F.expr(merged), F.expr(_parsed(docs)))
+    return joined.withColumn("doc", F.when(F.col("__p").isNotNull(), merged).otherwise(plain)).drop("__p")
 
 
 def patch_items(docs: DataFrame, patches: DataFrame, items: str = "rooms", deep: tuple[str, ...] = ("layout",)) -> DataFrame:
-    """Documents whose rooms (materials, markups) have the patches (project_id, id, seq, patch as JSON) laid over them, by seq.
+    """Documents, as text or VARIANT, whose rooms (materials, markups) have the patches (project_id, id, seq, patch as JSON) laid over them, by seq.
 
     Objects in `deep` are patched themselves: a layout's new angle keeps its origin. With no `deep` they are replaced. A project
     bounds what meets in one row; ids that a document lacks change nothing.
     """
     each = patches.groupBy("project_id", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "patch"))), lambda x: x["patch"]).alias("all"))
     given = each.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "all"))).alias("__given"))
-    joined = docs.join(given, "project_id", "left").withColumn("__v", F.expr("parse_json(doc)"))
+    joined = docs.join(given, "project_id", "left").withColumn("__v", F.expr(_parsed(docs)))
+    plain = F.expr("to_json(doc)") if _parsed(docs) == "doc" else F.col("doc")
     mine = "element_at(__given, try_variant_get(r, '$.id', 'string'))"
     patched = f"aggregate(coalesce({mine}, CAST(array() AS array<string>)), r, (a, x) -> {laid_over('a', 'parse_json(x)', deep)})"
-    listed = f"transform(try_variant_get(__v, '$.{items}', 'array<variant>'), r -> {patched})"
-    whole = laid_over("__v", f"to_variant_object(map('{items}', to_variant_object({listed})))")
-    doc = F.when(F.col("__given").isNotNull() & F.expr(f"try_variant_get(__v, '$.{items}', 'array<variant>') IS NOT NULL"), F.expr(f"to_json({whole})")).otherwise(F.col("doc"))
+    # the list is taken out once, and goes back into the fields beside it without a copy of its own
+    listed = f"element_at(transform(array(IF(__given IS NULL, NULL, try_variant_get(__v, '$.{items}', 'array<variant>'))), l -> transform(l, r -> {patched})), 1)"
+    whole = f"to_variant_object(map_concat(map_filter({_fields('__v')}, (k, v) -> k <> '{items}'), map('{items}', to_variant_object(x))))"
+    doc = F.coalesce(F.expr(f"element_at(transform(array({listed}), x -> IF(x IS NULL, NULL, to_json({whole}))), 1)"), plain)
     return joined.withColumn("doc", doc).drop("__given", "__v")
