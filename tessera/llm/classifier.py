@@ -6,7 +6,7 @@ the mean of its vectors; a linear layer with softmax gives the labels' probabili
 Without that bigram a word said over and over looks like prose: of 788 held-out junk
 documents 76 % were found then, all of them with it. Stochastic gradient descent in numpy
 trains on a bounded sample of labelled rows (MAX_TRAIN_ROWS, a documented bound), each of any length: the tasks turn
-a whole text into its buckets and their shares, of which a text's MOST_BUCKETS most frequent teach; the cost does not grow with the corpus. As the score is linear in the mean, each bucket's
+a whole text into its buckets and their shares, of which a text's MOST_BUCKETS most frequent teach; they reach the driver packed and are unpacked a step at a time; the cost does not grow with the corpus. As the score is linear in the mean, each bucket's
 vector folds into one number, and whole texts are scored by array operations in the tasks.
 
 Null and empty texts have one feature, the end mark, and so a score. Labels that repeat for
@@ -17,6 +17,9 @@ of both kinds at hand every score is the share of label 1 (0.5 if there are none
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,7 +31,7 @@ BUCKETS = 1 << 17
 DIM = 8
 #: The labelled rows that training takes at most (those with the smallest hash of their id).
 MAX_TRAIN_ROWS = 4000
-#: Buckets of a text that teach at most (texts of up to some 10,000 characters have fewer); so the driver gets 0.5 GB at the very most.
+#: Buckets of a text that teach at most (texts of up to some 10,000 characters have fewer); so the driver gets 0.5 GB at the very most, before packing.
 MOST_BUCKETS = 1 << 14
 EPOCHS, BATCH, RATE = 5, 32, 0.5
 NGRAMS = (3, 5)
@@ -141,11 +144,33 @@ def shares(text: bytes, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int32), (counts[ids] / total).astype(np.float32)
 
 
+def packed(ids: np.ndarray, share_of: np.ndarray) -> bytes:
+    """What shares() gives; sorted buckets lie close together and few shares differ, so both compress well."""
+    return zlib.compress(np.diff(ids, prepend=np.int32(0)).astype("<i4").tobytes() + share_of.astype("<f4").tobytes(), 1)
+
+
+class Lessons(Sequence):
+    """Texts' buckets and shares, kept packed and unpacked when asked for, so the driver never holds them all."""
+
+    def __init__(self, texts: pa.ChunkedArray):
+        self.texts, self.nbytes = texts, texts.nbytes
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i >= len(self):
+            raise IndexError(i)
+        data = zlib.decompress(self.texts[int(i)].as_buffer())
+        n = len(data) // 8
+        return np.cumsum(np.frombuffer(data, "<i4", n), dtype=np.int32), np.frombuffer(data, "<f4", n, 4 * n)
+
+
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
     return train_on([shares(t) for t in texts], labels, seed)
 
 
-def train_on(parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> Model:
+def train_on(parts: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> Model:
     """Gradient descent on the vectors and the softmax layer, from each text's buckets and shares. Classes weigh as their numbers' square roots, so rare junk counts."""
     share = float(np.mean(labels)) if len(labels) else 0.5
     if not 0 < share < 1:
@@ -160,9 +185,10 @@ def train_on(parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, see
         order = rng.permutation(len(parts))
         for k in range(0, len(order), BATCH):
             some = order[k : k + BATCH]
-            ids = np.concatenate([parts[i][0] for i in some])
-            share_of = np.concatenate([parts[i][1] for i in some])
-            first = np.concatenate([[0], np.cumsum([len(parts[i][0]) for i in some])[:-1]])
+            taken = [parts[i] for i in some]
+            ids = np.concatenate([i for i, _ in taken])
+            share_of = np.concatenate([s for _, s in taken])
+            first = np.concatenate([[0], np.cumsum([len(i) for i, _ in taken])[:-1]])
             mean = np.add.reduceat(table[ids] * share_of[:, None], first, axis=0)
             z = mean @ layer + bias
             p = np.exp(z - z.max(1, keepdims=True))
@@ -195,13 +221,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 
     def counted(batches):
         for b in batches:
-            found = [shares(t.as_py() or b"") for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float32()))], names=["doc_id", "label", "ids", "shares"])
+            found = [packed(*shares(t.as_py() or b"")) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "lesson"])
 
     kind = taught.schema["doc_id"].dataType.simpleString()
-    rows = taught.mapInArrow(counted, f"doc_id {kind}, label int, ids array<int>, shares array<float>").toArrow().sort_by("doc_id")
-    parts = [(i.values.to_numpy(), s.values.to_numpy()) for i, s in zip(rows["ids"], rows["shares"], strict=True)]
-    return train_on(parts, np.array(rows["label"].to_pylist(), np.int64))
+    rows = taught.mapInArrow(counted, f"doc_id {kind}, label int, lesson binary").toArrow().sort_by("doc_id")
+    return train_on(Lessons(rows["lesson"]), np.array(rows["label"].to_pylist(), np.int64))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), text: str = "text", name: str = "score") -> DataFrame:

@@ -231,6 +231,21 @@ def test_long_texts_teach_quality(spark):
     assert min(s for i, s in got.items() if i % 2) > max(s for i, s in got.items() if not i % 2)
 
 
+def test_lessons_reach_the_driver_packed(spark, monkeypatch):
+    words = np.random.default_rng(3).integers(0, 5000, (60, 400))
+    texts = [(i, " ".join(f"w{w}" for w in words[i]) * (i != 5)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    seen, keep = [], classifier.train_on
+    monkeypatch.setattr(classifier, "train_on", lambda parts, labels: seen.append((parts, labels)) or keep(parts, labels))
+    model = classifier.fit(spark.createDataFrame(texts, "doc_id bigint, text string"), labels)
+    parts, taught = seen[0]
+    want = [classifier.shares(t.encode()) for i, t in texts if zlib.crc32(str(i).encode()) % 5]
+    assert len(parts) == len(want) and all(a.dtype == b.dtype and np.array_equal(a, b) for x, y in zip(parts, want) for a, b in zip(x, y, strict=True))
+    assert 2 * parts.nbytes < sum(i.nbytes + s.nbytes for i, s in want)
+    plain = keep(want, taught)
+    assert np.array_equal(model.weight, plain.weight) and model.bias == plain.bias
+
+
 def test_redaction_is_one_pass(spark, tmp_path):
     """16,000 secrets in one text, spans that overlap, and a ledger that tells a blob twice."""
     import time
