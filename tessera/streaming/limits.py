@@ -24,7 +24,8 @@ def fixed_windows(requests: DataFrame, window_ms: int = WINDOW_MS, most: int = M
 class SlidingLog(StatefulProcessor):
     """Counts of one identity's requests in the window before each (W2), right for rows that come late too.
 
-    List state holds (ts_ms, event_id) of the requests that a row may still need: those later than the watermark less the window. A timer
+    List state holds (ts_ms, event_id) of the requests that a row may still need: those later than the watermark less the window. What one batch
+    adds is one value, two arrays side by side, since each value costs a pickle and a row on its way to the store and back. A timer
     takes away what the watermark has passed; in event time it stands for a time to live, which Spark has for processing time alone.
     A late row raises the hits of later requests in its window, so those are sent again.
     """
@@ -34,10 +35,10 @@ class SlidingLog(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.log = handle.getListState("log", "ts_ms bigint, event_id bigint")
+        self.log = handle.getListState("log", "ts_ms array<bigint>, event_id array<bigint>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        past = sorted((int(t), int(e)) for t, e in self.log.get())
+        past = self._past()
         new = sorted((int(t), int(e)) for b in rows for t, e in zip(b["ts_ms"], b["event_id"], strict=True))
         now = sorted(past + new)
         if past and new[0] < past[-1]:
@@ -52,7 +53,7 @@ class SlidingLog(StatefulProcessor):
         yield pd.DataFrame({"event_id": [e for (_, e), _ in out], "identity": key[0], "ts_ms": [t for (t, _), _ in out], "hits": [h for _, h in out], "limited": [h > self.most for _, h in out]})
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        left = self._keep(sorted((int(t), int(e)) for t, e in self.log.get()), timerValues.getCurrentWatermarkInMs())
+        left = self._keep(self._past(), timerValues.getCurrentWatermarkInMs())
         if left:
             self.handle.registerTimer(left[-1][0] + self.window_ms)
         return iter(())
@@ -60,6 +61,9 @@ class SlidingLog(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    def _past(self) -> list[tuple[int, int]]:
+        return sorted(x for times, ids in self.log.get() for x in zip(times, ids, strict=True))
+
     def _hits(self, log: list[tuple[int, int]]) -> list[int]:
         times = [t for t, _ in log]
         return [i + 1 - bisect_right(times, t - self.window_ms) for i, t in enumerate(times)]
@@ -69,12 +73,17 @@ class SlidingLog(StatefulProcessor):
         if not left:
             self.log.clear()
         elif added is not None and len(left) == len(log):
-            self.log.appendList(added)
+            self.log.appendValue(_value(added))
         else:
-            self.log.put(left)
+            self.log.put([_value(left)])
         return left
 
 
+def _value(log: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """A log as one value of the state."""
+    return [t for t, _ in log], [e for _, e in log]
+
+
 def sliding_log(requests: DataFrame, window_ms: int = WINDOW_MS, most: int = MOST, late: str = "5 minutes") -> DataFrame:
     """Each request with the hits in the window before it. A request comes again, with more hits, when a late one turns up in its window:
     settled() keeps the last word. Needs the RocksDB state store, which run_once() sets."""

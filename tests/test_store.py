@@ -71,6 +71,45 @@ def test_late_requests_in_a_stream(spark, tmp_path):
     assert len(list((tmp_path / "state" / "commits").glob("[0-9]*"))) >= 3
 
 
+def test_a_batch_of_requests_is_one_value_of_the_state():
+    import pandas as pd
+
+    from tessera.streaming import limits as streams
+
+    class State:
+        def __init__(self):
+            self.values = []
+
+        def get(self):
+            return iter(list(self.values))
+
+        def appendValue(self, value):
+            self.values.append(value)
+
+        def appendList(self, values):
+            self.values += values
+
+        def put(self, values):
+            self.values = list(values)
+
+        def getListState(self, name, schema):
+            return self
+
+        def registerTimer(self, at):
+            pass
+
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    state, log = State(), streams.SlidingLog(100, 2)
+    log.init(state)
+    told = lambda *rows: [tuple(x) for b in log.handleInputRows((7,), iter([pd.DataFrame(rows, columns=["ts_ms", "event_id"])]), state) for x in b[["event_id", "hits", "limited"]].values.tolist()]
+    assert told((1050, 2), (1000, 1), (1090, 3)) == [(1, 1, False), (2, 2, False), (3, 3, True)]
+    assert len(state.values) == 1
+    assert told((1020, 4)) == [(4, 2, False), (2, 3, True), (3, 4, True)]
+    assert len(state.values) == 1
+
+
 def test_patches_keep_what_they_do_not_name(spark):
     import json
 
