@@ -205,3 +205,15 @@ def test_workbooks_in_columns_equal_those_cell_by_cell(spark):
     assert first[1, 1] == ["a & <b>", "3", "1.5"] and first[1, 2] == [None, None, "1e-07"] and first[1, 3] == [] and first[2, 2] == [""] * 10 + ["Materials", "0.25"] and first[1, 8] == [""] * 10 + ["TOTAL"]
     assert {k: v for k, v in ((x["project_id"], x["cells"]) for x in documents.read_workbooks(made, 2).where("row = 1").collect())} == {i: ["&lt;", "20.0"] for i in (1, 2, 4)}
     assert documents._rows(["2"], ["x"]).to_pylist() == [documents._row(1, ["x"])]  # a row is written by columns, and there alone
+
+
+def test_workbooks_are_gathered_by_one_sort(spark):
+    """report_xlsx, report_xlsx_rooms, report_xlsx_materials: a project's rows are sorted once to meet, not grouped again and again, each time with all of them spilled."""
+    from tessera.plans import queries as Q
+    from tessera.sources import documents
+
+    sf = "/root/testdata/sf0.001"
+    parts = documents.gathered(*(f(spark, sf) for f in (lambda s, d: Q.load(s, d, "projects"), Q._lines, lambda s, d: Q.load(s, d, "rooms"))))
+    plan = parts._jdf.queryExecution().sparkPlan().toString()
+    after = plan[: plan.index("MapInArrow")] + plan[plan.index("MapInArrow") :].split("Union")[0]
+    assert "Aggregate" not in after and after.count("Sort [project_id") == 1 and after.count("Exchange") == 1
